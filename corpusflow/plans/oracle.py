@@ -184,3 +184,110 @@ WITH hits AS ({_knn(f"(SELECT vec_id AS query_id, vec FROM {_EMB})", _EMB, "5",
 SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY distance, vec_id) AS ids, count(*) AS n,
        round(list_reduce(list(distance ORDER BY distance, vec_id), lambda a, b: a + b), 6) AS dist_sum
 FROM hits GROUP BY query_id"""
+
+# --- logs, conversations, prompts -------------------------------------------
+
+ORACLES["recent_queries"] = """
+SELECT event_id AS id, event_type AS query, epoch_us(ts) AS ts_us,
+       json_extract_string(props, '$.k')::INTEGER AS num_results, value AS query_response_time
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 10"""
+
+_MSG = "(SELECT conv_id AS conversation_id, turn, role, text AS content FROM conversations)"
+_CONVS = f"""(SELECT conversation_id, NULL::VARCHAR AS title, 1704067200 + conversation_id * 60 AS created_at
+  FROM {_MSG} WHERE turn = 0 AND role = 'user')"""
+
+ORACLES["recent_conversations"] = f"""
+SELECT * FROM {_CONVS} c ORDER BY created_at DESC, conversation_id DESC LIMIT 10"""
+
+ORACLES["conversation_memory"] = f"""
+SELECT conversation_id, count(*) AS n_messages,
+       string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS history
+FROM (SELECT * FROM {_MSG} QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) <= 5)
+GROUP BY conversation_id"""
+
+ORACLES["orphan_messages"] = f"""
+SELECT m.conversation_id, m.turn, m.role FROM {_MSG} m
+WHERE NOT EXISTS (SELECT 1 FROM {_CONVS} c WHERE c.conversation_id = m.conversation_id)"""
+
+ORACLES["conversation_join"] = f"""
+SELECT c.conversation_id, c.created_at, count(*) AS n_messages
+FROM {_MSG} m JOIN {_CONVS} c ON c.conversation_id = m.conversation_id GROUP BY ALL"""
+
+
+def _prompt(query: str, context: str) -> str:
+    return (f"'### System:' || chr(10) || '' || chr(10) || chr(10) || '### Context:' || chr(10) || coalesce({context}, '')"
+            f" || chr(10) || chr(10) || '### User:' || chr(10) || {query} || chr(10) || chr(10) || '### Assistant:' || chr(10)")
+
+
+def _chat_context_sql(requests: str, text: str, k: str) -> str:
+    """CTEs (after CHUNK_VECS) ending in ``ctx(query_id, n_hits, context)`` for ``requests(query_id, text, ...)``."""
+    return "," + chunk_ctes(requests, "query_id", text, prefix="r") + f""",
+rfirst AS (SELECT q.query_id, c.chunk FROM {requests} q LEFT JOIN rchunks c ON c.query_id = q.query_id AND c.chunk_index = 0),
+""" + embed_ctes("rfirst", ["query_id"], "coalesce(chunk, '')", "rv")[1:] + f""",
+rq AS (SELECT rv.query_id, rv.vec, {k} AS kq FROM rv JOIN {requests} q USING (query_id)),
+rhits AS ({_knn("rq", "coll", "q.kq")}),
+ctx AS (SELECT h.query_id, count(*) AS n_hits,
+               string_agg(c.document, chr(10) ORDER BY h.distance, h.id) AS context
+        FROM rhits h JOIN coll c USING (id) GROUP BY h.query_id)"""
+
+
+_BREQ = "(SELECT item_id AS query_id, text FROM benchmark)"
+
+ORACLES["prompt_single"] = "WITH RECURSIVE " + CHUNK_VECS + _chat_context_sql(_BREQ, "text", "5") + f"""
+SELECT b.query_id, {_prompt('b.text', 'ctx.context')} AS prompt
+FROM {_BREQ} b LEFT JOIN ctx USING (query_id)"""
+
+_UREQ = f"(SELECT conversation_id * 1000 + turn AS query_id, conversation_id, turn, content FROM {_MSG} WHERE role = 'user')"
+
+ORACLES["prompt_conversation"] = "WITH RECURSIVE " + CHUNK_VECS + _chat_context_sql(_UREQ, "content", "5") + f""",
+hist AS (SELECT r.conversation_id, r.turn,
+                string_agg(m.role || ': ' || m.content, chr(10) ORDER BY m.turn) AS history
+         FROM {_UREQ} r JOIN {_MSG} m ON m.conversation_id = r.conversation_id
+              AND m.turn BETWEEN r.turn - 5 AND r.turn - 1
+         GROUP BY ALL)
+SELECT r.conversation_id, r.turn,
+       '### Previous Conversation:' || chr(10) || coalesce(h.history, '') || chr(10) || chr(10) ||
+       {_prompt('r.content', 'ctx.context')} AS prompt
+FROM {_UREQ} r LEFT JOIN hist h USING (conversation_id, turn) LEFT JOIN ctx USING (query_id)"""
+
+ORACLES["new_conversation_ids"] = f"""
+WITH req AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id END::BIGINT AS conversation_id
+             FROM benchmark),
+top AS (SELECT max(conversation_id) AS m FROM {_CONVS} c)
+SELECT item_id, conversation_id, false AS is_new FROM req WHERE conversation_id IS NOT NULL
+UNION ALL
+SELECT item_id, (top.m + row_number() OVER (ORDER BY item_id))::BIGINT AS conversation_id, true AS is_new
+FROM req, top WHERE req.conversation_id IS NULL"""
+
+_TOKENS = ("list_filter(list_transform(string_split(content, ' '), lambda w, i: CASE WHEN i = 1 THEN w ELSE ' ' || w END),"
+           " lambda t: t <> '')")
+
+ORACLES["event_frames"] = f"""
+SELECT conversation_id, turn, len(toks) AS n_events,
+       'id: ' || conversation_id || chr(10) || chr(10) ||
+       array_to_string(list_transform(toks, lambda t: 'data: ' || t || chr(10) || chr(10)), '') AS body
+FROM (SELECT conversation_id, turn, {_TOKENS} AS toks FROM {_MSG} WHERE role = 'assistant')"""
+
+ORACLES["event_parse"] = f"""
+WITH f AS ({ORACLES['event_frames']}),
+r AS (SELECT conversation_id, turn,
+             array_to_string(list_transform(list_filter(string_split(body, chr(10) || chr(10)),
+                                                        lambda e: starts_with(e, 'data: ')),
+                                            lambda e: substr(e, 7)), '') AS rebuilt FROM f)
+SELECT r.conversation_id, r.turn, length(r.rebuilt) AS rebuilt_len, r.rebuilt = m.content AS same
+FROM r JOIN {_MSG} m USING (conversation_id, turn)"""
+
+_NREQ = ("(SELECT item_id AS query_id, text, CASE WHEN item_id % 5 = 0 THEN 0 ELSE 5 END AS n_results "
+         "FROM benchmark)")
+
+ORACLES["no_hit_answer"] = "WITH RECURSIVE " + CHUNK_VECS + _chat_context_sql(_NREQ, "text", "q.n_results") + f"""
+SELECT q.query_id, ctx.context IS NOT NULL AS has_hits,
+       coalesce(ctx.context, 'No relevant documents found for your query.') AS context
+FROM {_NREQ} q LEFT JOIN ctx USING (query_id)"""
+
+ORACLES["query_log_rows"] = "WITH RECURSIVE " + CHUNK_VECS + "," + _BENCH_VEC + """,
+hits AS (""" + _knn("(SELECT item_id AS query_id, vec FROM bq)", "coll", "10") + """),
+got AS (SELECT query_id, count(*) AS returned FROM hits GROUP BY query_id)
+SELECT (row_number() OVER (ORDER BY b.item_id))::BIGINT AS id, b.text AS query, 5 AS num_results,
+       10 AS effective_k, coalesce(g.returned, 0)::INTEGER AS returned
+FROM benchmark b LEFT JOIN got g ON g.query_id = b.item_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.plans import oracle, retrieval
+from corpusflow.plans import conversation, oracle, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": retrieval.chunk_documents,
@@ -24,6 +24,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_per_row_k": retrieval.knn_per_row_k,
     "knn_nested": retrieval.knn_nested,
     "knn_approx": retrieval.knn_approx,
+    "recent_queries": conversation.recent_queries,
+    "recent_conversations": conversation.recent_conversations,
+    "conversation_memory": conversation.conversation_memory,
+    "orphan_messages": conversation.orphan_messages,
+    "conversation_join": conversation.conversation_join,
+    "prompt_single": conversation.prompt_single,
+    "prompt_conversation": conversation.prompt_conversation,
+    "new_conversation_ids": conversation.new_conversation_ids,
+    "event_frames": conversation.event_frames,
+    "event_parse": conversation.event_parse,
+    "no_hit_answer": conversation.no_hit_answer,
+    "query_log_rows": conversation.query_log_rows,
+    "generate_batch": conversation.generate_batch,
 }
 
 
