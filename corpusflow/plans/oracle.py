@@ -291,3 +291,161 @@ got AS (SELECT query_id, count(*) AS returned FROM hits GROUP BY query_id)
 SELECT (row_number() OVER (ORDER BY b.item_id))::BIGINT AS id, b.text AS query, 5 AS num_results,
        10 AS effective_k, coalesce(g.returned, 0)::INTEGER AS returned
 FROM benchmark b LEFT JOIN got g ON g.query_id = b.item_id"""
+
+# --- ingest -------------------------------------------------------------------
+
+_EXTS = "['.txt', '.md', '.xml', '.csv', '.pdf', '.docx', '.doc', '.png', '.jpg', '.jpeg', '.avi', '.mp4', " \
+        "'.mov', '.mpeg', '.TXT', '.tar.gz', '', '.', '.zip', '.Md']"
+_NAMED = f"""(SELECT doc_id, text, CASE WHEN doc_id % 21 = 20 THEN '.doc_' || doc_id
+                 ELSE 'doc_' || doc_id || {_EXTS}[(doc_id % 21) + 1] END AS filename FROM documents)"""
+_EXT = "lower(regexp_extract(regexp_replace(filename, '^\\.+', ''), '(\\.[^.]*)$', 1))"
+_SUFFIX = f"(CASE WHEN starts_with({_EXT}, '.') THEN {_EXT} ELSE '.' || {_EXT} END)"
+_FORMATS = """(SELECT * FROM (VALUES ('txt','text'),('md','text'),('xml','text'),('csv','csv'),('pdf','pdf'),
+  ('docx','docx'),('doc','docx'),('png','image'),('jpg','image'),('jpeg','image'),('avi','video'),('mp4','video'),
+  ('mov','video'),('mpeg','video')) f(file_type, extractor))"""
+_TYPED = f"(SELECT doc_id, filename, {_SUFFIX} AS suffix, substr({_SUFFIX}, 2) AS file_type FROM {_NAMED})"
+
+ORACLES["file_type_derivation"] = f"SELECT doc_id, filename, suffix, file_type FROM {_TYPED}"
+
+ORACLES["format_dispatch_counts"] = f"""
+SELECT coalesce(f.extractor, 'unsupported') AS extractor, count(*) AS n
+FROM {_TYPED} t LEFT JOIN {_FORMATS} f USING (file_type) GROUP BY 1"""
+
+ORACLES["unsupported_rejects"] = f"""
+SELECT t.doc_id, t.filename, t.file_type, 'unsupported' AS reason
+FROM {_TYPED} t WHERE NOT EXISTS (SELECT 1 FROM {_FORMATS} f WHERE f.file_type = t.file_type)"""
+
+ORACLES["text_newline_normalise"] = """
+SELECT doc_id, length(dec) AS n_chars, dec = text AS same FROM (
+  SELECT doc_id, text, regexp_replace(decode(encode(replace(text, chr(10),
+         CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(13) END))), chr(13) || chr(10) || '?', chr(10), 'g') AS dec
+  FROM documents)"""
+
+ORACLES["empty_blank_rejects"] = f"""
+SELECT doc_id, CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty'
+                    WHEN NOT regexp_matches(text, '{_BLANK_FREE}') THEN 'blank' ELSE 'ok' END AS status
+FROM (SELECT doc_id, text FROM documents
+      UNION ALL SELECT * FROM (VALUES (-1, NULL), (-2, ''), (-3, ' ' || chr(10) || ' '), (-4, chr(160)), (-5, ' x'))
+      e(doc_id, text))"""
+
+ORACLES["paged_text_concat"] = """
+SELECT conv_id, count(*) AS n_pages, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text
+FROM conversations GROUP BY conv_id"""
+
+ORACLES["count_match_check"] = "WITH RECURSIVE " + chunk_ctes() + """
+SELECT doc_id, count(*) AS n_chunks, count(*) AS n_embeddings, true AS ok FROM chunks GROUP BY doc_id"""
+
+ORACLES["dimension_check"] = """
+SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+       min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS matches FROM embeddings"""
+
+ORACLES["insert_if_absent"] = """
+WITH t AS (SELECT max(vec_id) AS top FROM embeddings)
+SELECT vec_id, label FROM embeddings, t WHERE vec_id <= 2 * top // 3
+UNION ALL
+SELECT vec_id, label + 100 AS label FROM embeddings, t WHERE vec_id >= top // 3 AND vec_id > 2 * top // 3"""
+
+# --- frames, OCR, sizes ----------------------------------------------------------
+
+_EV_FRAMES = """(SELECT user_id AS video_id, event_id, value AS brightness,
+       json_extract_string(props, '$.k')::BIGINT * 10 AS edge_count,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no,
+       count(*) OVER (PARTITION BY user_id) AS total
+  FROM events)"""
+_STRIDED = f"(SELECT * FROM {_EV_FRAMES} WHERE frame_no % greatest(1, total // 10) = 0)"
+
+ORACLES["frame_stride"] = f"SELECT video_id, frame_no, event_id FROM {_STRIDED}"
+
+ORACLES["frame_relevance"] = f"""
+SELECT video_id, frame_no, event_id FROM {_STRIDED} WHERE brightness >= 30 AND edge_count >= 500"""
+
+ORACLES["frame_cap"] = f"""
+SELECT video_id, frame_no FROM {_STRIDED} WHERE brightness >= 30 AND edge_count >= 500
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_no) <= 10"""
+
+ORACLES["histogram_bins"] = """
+SELECT user_id AS video_id, floor(value)::INTEGER AS bin, count(*) AS n
+FROM events WHERE value >= 0 AND value < 256 GROUP BY ALL"""
+
+
+def _pearson(a: str, b: str) -> str:
+    s = "lambda x, y: x + y"
+    ma = f"(list_reduce({a}, {s})::DOUBLE / len({a}))"
+    mb = f"(list_reduce({b}, {s})::DOUBLE / len({b}))"
+    cov = (f"list_reduce(list_transform(range(1, len({a}) + 1), "
+           f"lambda i: ({a}[i]::DOUBLE - {ma}) * ({b}[i]::DOUBLE - {mb})), {s})")
+    va = f"list_reduce(list_transform({a}, lambda x: (x::DOUBLE - {ma}) * (x::DOUBLE - {ma})), {s})"
+    vb = f"list_reduce(list_transform({b}, lambda x: (x::DOUBLE - {mb}) * (x::DOUBLE - {mb})), {s})"
+    return f"(CASE WHEN sqrt({va} * {vb}) = 0 THEN 1.0 ELSE {cov} / sqrt({va} * {vb}) END)"
+
+
+_HF = """(SELECT label AS video_id, vec_id, embedding::DOUBLE[] AS hist,
+         row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq,
+         count(*) OVER (PARTITION BY label) AS total FROM embeddings)"""
+
+ORACLES["histogram_corr"] = f"""
+SELECT video_id, vec_id, prev_vec_id, round({_pearson('hist', 'prev_hist')}, 6) AS corr FROM (
+  SELECT video_id, vec_id, hist, lag(vec_id) OVER w AS prev_vec_id, lag(hist) OVER w AS prev_hist
+  FROM {_HF} WINDOW w AS (PARTITION BY video_id ORDER BY seq))
+WHERE prev_vec_id IS NOT NULL"""
+
+ORACLES["sequence_dedup"] = f"""
+WITH RECURSIVE s AS (
+  SELECT video_id, vec_id, hist, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS pos
+  FROM {_HF} WHERE seq % greatest(1, total // 100) = 0),
+walk AS (
+  SELECT video_id, pos, vec_id, true AS kept, hist AS last FROM s WHERE pos = 1
+  UNION ALL
+  SELECT s.video_id, s.pos, s.vec_id, NOT ({_pearson('s.hist', 'w.last')} > 0.2) AS kept,
+         CASE WHEN {_pearson('s.hist', 'w.last')} > 0.2 THEN w.last ELSE s.hist END AS last
+  FROM walk w JOIN s ON s.video_id = w.video_id AND s.pos = w.pos + 1)
+SELECT video_id, vec_id FROM walk WHERE kept
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY pos) <= 100"""
+
+ORACLES["ocr_token_text"] = """
+WITH lines AS (
+  SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS frame_no FROM documents),
+toks AS (
+  SELECT video_id, frame_no, unnest(string_split(line, ' ')) AS tok,
+         generate_subscripts(string_split(line, ' '), 1) AS token_no FROM lines),
+good AS (
+  SELECT video_id, frame_no, token_no, trim(tok) AS t FROM toks
+  WHERE ('0x' || substr(md5(tok), 1, 2))::INTEGER * 100.0::DOUBLE / 255.0::DOUBLE > 60 AND length(trim(tok)) > 1),
+frames AS (
+  SELECT video_id, frame_no, string_agg(t, ' ' ORDER BY token_no) AS frame_text FROM good GROUP BY ALL)
+SELECT video_id, count(*) AS n_frames, string_agg(frame_text, chr(10) ORDER BY frame_no) AS text
+FROM frames GROUP BY video_id"""
+
+ORACLES["image_resize_plan"] = """
+WITH s AS (
+  SELECT p_partkey AS image_id, (p_partkey * 37) % 1000 + 1 AS width, (p_size * 29 + p_partkey) % 900 + 1 AS height
+  FROM part
+  UNION ALL SELECT * FROM (VALUES (-1, 800, 600), (-2, 799, 600), (-3, 400, 900), (-4, 1980, 10), (-5, 1981, 10),
+                                  (-6, 1, 1)) e(image_id, width, height)),
+r AS (SELECT *, greatest(CASE WHEN width < 800 THEN 800.0::DOUBLE / width::DOUBLE ELSE 1.0::DOUBLE END,
+                         CASE WHEN height < 600 THEN 600.0::DOUBLE / height::DOUBLE ELSE 1.0::DOUBLE END) AS scale,
+             (width < 800 OR height < 600) AS small FROM s)
+SELECT image_id, width, height,
+       CASE WHEN small AND scale > 1 THEN floor(width::DOUBLE * scale) ELSE width END::BIGINT AS new_width,
+       CASE WHEN small AND scale > 1 THEN floor(height::DOUBLE * scale) ELSE height END::BIGINT AS new_height,
+       small AND scale > 1 AS resized
+FROM r"""
+
+ORACLES["frame_resize_plan"] = """
+WITH s AS (
+  SELECT l_orderkey * 10 + l_linenumber AS frame_id, (l_partkey * 13) % 4000 + 1 AS width,
+         (l_suppkey * 7 + l_linenumber) % 3000 + 1 AS height FROM lineitem
+  UNION ALL SELECT * FROM (VALUES (-1, 1980, 1980), (-2, 1981, 10), (-3, 10, 1981), (-4, 3961, 2))
+  e(frame_id, width, height)),
+r AS (SELECT *, (width > 1980 OR height > 1980) AS big,
+             1980.0::DOUBLE / greatest(width, height)::DOUBLE AS scale FROM s)
+SELECT frame_id, width, height,
+       CASE WHEN big THEN round_even(width::DOUBLE * scale, 0) ELSE width END::BIGINT AS new_width,
+       CASE WHEN big THEN round_even(height::DOUBLE * scale, 0) ELSE height END::BIGINT AS new_height,
+       big AS resized
+FROM r"""
+
+ORACLES["video_stats"] = """
+SELECT video_id, fps, frames, round(frames::DOUBLE / nullif(fps, 0)::DOUBLE, 6) AS duration, fps <> 0 AS ok
+FROM (SELECT o_custkey AS video_id, count(*) AS frames, (o_custkey % 4) * 10 AS fps FROM orders GROUP BY 1)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.plans import conversation, oracle, retrieval
+from corpusflow.plans import conversation, ingest, media, oracle, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": retrieval.chunk_documents,
@@ -37,6 +37,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "no_hit_answer": conversation.no_hit_answer,
     "query_log_rows": conversation.query_log_rows,
     "generate_batch": conversation.generate_batch,
+    "file_type_derivation": ingest.file_type_derivation,
+    "format_dispatch_counts": ingest.format_dispatch_counts,
+    "unsupported_rejects": ingest.unsupported_rejects,
+    "text_newline_normalise": ingest.text_newline_normalise,
+    "empty_blank_rejects": ingest.empty_blank_rejects,
+    "paged_text_concat": ingest.paged_text_concat,
+    "count_match_check": ingest.count_match_check,
+    "dimension_check": ingest.dimension_check,
+    "insert_if_absent": ingest.insert_if_absent,
+    "frame_stride": media.frame_stride,
+    "frame_relevance": media.frame_relevance,
+    "frame_cap": media.frame_cap,
+    "histogram_bins": media.histogram_bins,
+    "histogram_corr": media.histogram_corr,
+    "sequence_dedup": media.sequence_dedup,
+    "ocr_token_text": media.ocr_token_text,
+    "image_resize_plan": media.image_resize_plan,
+    "frame_resize_plan": media.frame_resize_plan,
+    "video_stats": media.video_stats,
 }
 
 
