@@ -106,10 +106,14 @@ def explode_chunks(df: DataFrame, chunks_col: str = "chunks") -> DataFrame:
     """One row per chunk with ``chunk_index`` and the per-document ``chunk_total``.
 
     The total is ``size(array)`` carried on each row, so no window is needed.
+    The outer form plus a filter keeps Catalyst from inferring
+    ``size(chunks) > 0`` and pushing a second evaluation of the chunker below
+    an earlier repartition.
     """
     others = [c for c in df.columns if c != chunks_col]
     return (df.select(*others, F.size(chunks_col).alias("chunk_total"),
-                      F.posexplode(chunks_col).alias("chunk_index", "chunk"))
+                      F.posexplode_outer(chunks_col).alias("chunk_index", "chunk"))
+            .filter(F.col("chunk_index").isNotNull())
             .withColumn("chunk_index", F.col("chunk_index").cast("int")))
 
 

@@ -73,6 +73,7 @@ class IvfIndex:
     radius: dict  # cell -> max L2 distance from centroid
     n_sub: dict  # cell -> sub-blocks
     blocks: DataFrame  # cell, sub, ids array<string|long>, vecs array<array<double>>
+    rows: DataFrame  # id, vec and payload columns, materialised once
     id_type: T.DataType
     dimension: int
     settings: Settings
@@ -151,12 +152,20 @@ def _pass2_udf(counts: np.ndarray, radius: np.ndarray):
 
 
 def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embedding",
-                settings: Settings = DEFAULT, n_cells: int | None = None, seed: int = 17) -> IvfIndex:
-    """Build the inverted-file layout of a collection (once; reuse for many searches)."""
+                settings: Settings = DEFAULT, n_cells: int | None = None, seed: int = 17,
+                payload: list[str] | None = None) -> IvfIndex:
+    """Build the inverted-file layout of a collection (once; reuse for many searches).
+
+    The collection is materialised once (checkpoint to ``spark.checkpoint.dir``):
+    every later step reads it instead of recomputing an upstream pipeline,
+    and ``payload`` columns (e.g. the chunk text) stay available to
+    ``attach`` without another pass.
+    """
     spark = collection.sparkSession
     ship_package(spark)
     base = collection.select(F.col(id_col).alias("id"),
-                             F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
+                             F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), *(payload or []))
+    base = base.checkpoint() if checkpoint_dir(spark) else base.cache()
     id_type = base.schema["id"].dataType
     n = base.count()
     if n == 0:
@@ -164,7 +173,7 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
             T.StructField("cell", T.IntegerType()), T.StructField("sub", T.IntegerType()),
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType())))]))
-        return IvfIndex(np.zeros((0, 0)), {}, {}, {}, empty, id_type, 0, settings)
+        return IvfIndex(np.zeros((0, 0)), {}, {}, {}, empty, base, id_type, 0, settings)
     c = n_cells or max(1, min(settings.max_cells, int(round(math.sqrt(n)))))
     # Centroids: the C vectors with the smallest seeded hash of their id — a
     # deterministic spread sample chosen by a distributed top-C (partial per
@@ -174,10 +183,11 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
               .select("vec").collect())
     cents = np.stack([np.asarray(r.vec, dtype=np.float64) for r in picked])
     dim = cents.shape[1]
+    # the assignment is a cheap numpy pass; it runs once for the statistics
+    # and once for the blocks rather than writing another copy
     assigned = base.withColumn("a", _assign_udf(cents)(F.col("vec"))).select(
         "id", "vec", F.col("a.cell").alias("cell"), F.col("a.cdist").alias("cdist"))
     ckpt = checkpoint_dir(spark)
-    assigned = assigned.checkpoint() if ckpt else assigned
     stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("r")).collect()
     counts = {int(r.cell): int(r.n) for r in stats}
     radius = {int(r.cell): float(r.r) for r in stats}
@@ -191,7 +201,12 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
     parts = max(1, min(sum(n_sub.values()), spark.sparkContext.defaultParallelism * 4))
     blocks = blocks.repartition(parts, "cell", "sub")
     blocks = blocks.checkpoint() if ckpt else blocks.cache()
-    return IvfIndex(cents, counts, radius, n_sub, blocks, id_type, dim, settings)
+    return IvfIndex(cents, counts, radius, n_sub, blocks, base, id_type, dim, settings)
+
+
+def attach(index: IvfIndex, hits: DataFrame, cols: list[str]) -> DataFrame:
+    """Payload columns of the hit rows (the hits side is small: queries x k)."""
+    return hits.join(index.rows.select("id", *cols), "id")
 
 
 def _score_fn():

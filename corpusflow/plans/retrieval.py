@@ -109,12 +109,10 @@ def text_search(spark, base):
 
 def chat_hits(spark, base, k: int = DEFAULT.default_n_results) -> DataFrame:
     """first chunk of each query, k not clamped (default 5); hits carry their text."""
-    rows = collection_rows(spark, base)
-    idx = search.build_index(rows, "id", "embedding")
+    idx = search.build_index(collection_rows(spark, base), "id", "embedding", payload=["document"])
     q = read_table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     q = embedding.embed_first_chunk(q, "text", "embedding", EMB, DEFAULT.chunk_width)
-    hits = search.search(idx, q, k)
-    return hits.join(rows.select("id", "document"), "id")
+    return search.attach(idx, search.search(idx, q, k), ["document"])
 
 
 def chat_retrieval(spark, base):
