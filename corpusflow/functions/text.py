@@ -22,8 +22,8 @@ def has_text(c: Column) -> Column:
 
 
 def clamp(c: Column, lo: int = 10, hi: int = 50) -> Column:
-    """``max(min(x, hi), lo)``."""
-    return F.greatest(F.least(c, F.lit(hi)), F.lit(lo))
+    """``max(min(x, hi), lo)`` (C7); null stays null (``least``/``greatest`` skip nulls)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(hi)), F.lit(lo)))
 
 
 def default(c: Column, value) -> Column:

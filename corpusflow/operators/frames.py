@@ -74,16 +74,21 @@ def consecutive_pairs(frames: DataFrame, video: str, seq_col: str, cols: list[st
     return frames.join(prev, [video, seq_col], "inner")
 
 
+def _seq_sum(v: np.ndarray) -> float:
+    """Plain left-to-right float64 sum (Python's ``sum`` compensates, numpy's pairs)."""
+    return float(np.add.accumulate(v)[-1]) if len(v) else 0.0
+
+
 def _dedup_fn(video: str, frame_col: str, hist_col: str, threshold: float):
     def corr(a: np.ndarray, b: np.ndarray) -> float:
         # same arithmetic as the expression path: index-order sums, float64
         n = len(a)
-        ma = sum(a.tolist()) / n
-        mb = sum(b.tolist()) / n
+        ma = _seq_sum(a) / n
+        mb = _seq_sum(b) / n
         da, db = a - ma, b - mb
-        cov = sum((da * db).tolist())
-        va = sum((da * da).tolist())
-        vb = sum((db * db).tolist())
+        cov = _seq_sum(da * db)
+        va = _seq_sum(da * da)
+        vb = _seq_sum(db * db)
         den = np.sqrt(va * vb)
         return 1.0 if den == 0 else cov / den
 

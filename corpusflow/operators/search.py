@@ -124,10 +124,10 @@ def _plan_udf(centroids: np.ndarray, counts: np.ndarray, exact: bool, n_probe: i
             if exact:
                 cum = np.cumsum(counts[o])
                 take = int(np.searchsorted(cum, max(int(k), 1))) + 1  # first prefix holding >= k
-                p1.append(o[:take].astype("int32"))
+                p1.append(o[:take].tolist())
             else:
-                p1.append(o[:max(1, n_probe)].astype("int32"))
-        return pd.DataFrame({"cd": list(D), "p1": p1})
+                p1.append(o[:max(1, n_probe)].tolist())
+        return pd.DataFrame({"cd": D.tolist(), "p1": p1})
 
     return plan
 
@@ -145,7 +145,7 @@ def _pass2_udf(counts: np.ndarray, radius: np.ndarray):
             if b is not None and not (isinstance(b, float) and math.isnan(b)):
                 lb = np.maximum(dists - radius - _EPS, 0.0)
                 cand &= lb * lb <= b
-            out.append(np.nonzero(cand)[0].astype("int32"))
+            out.append(np.nonzero(cand)[0].tolist())
         return pd.Series(out)
 
     return pass2
@@ -241,7 +241,8 @@ def _score_fn():
                 out_c.extend(carr[cols].tolist())
                 out_d.extend(exact.tolist())
                 out_k.extend(kk[rows].tolist())
-            yield pd.DataFrame({"query_id": out_q, "id": out_c, "distance": out_d, "k": out_k})
+            if out_q:  # an all-empty batch is simply not emitted
+                yield pd.DataFrame({"query_id": out_q, "id": out_c, "distance": out_d, "k": out_k})
 
     return score
 
