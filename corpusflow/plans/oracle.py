@@ -449,3 +449,14 @@ FROM r"""
 ORACLES["video_stats"] = """
 SELECT video_id, fps, frames, round(frames::DOUBLE / nullif(fps, 0)::DOUBLE, 6) AS duration, fps <> 0 AS ok
 FROM (SELECT o_custkey AS video_id, count(*) AS frames, (o_custkey % 4) * 10 AS fps FROM orders GROUP BY 1)"""
+
+# --- streams and extractors -----------------------------------------------------
+
+ORACLES["stream_ingest"] = "WITH RECURSIVE " + DOC_CHUNKS + """
+SELECT filename || '_' || chunk_index AS id, filename AS source, chunk_index, chunk_total,
+       (chunk_index // 5000)::VARCHAR AS batch, length(chunk) AS doc_len
+FROM doc_chunks"""
+
+ORACLES["stream_search"] = ORACLES["text_search"]
+
+ORACLES["docx_extract"] = "SELECT doc_id, length(text) AS n_chars, true AS same FROM documents"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.plans import conversation, ingest, media, oracle, retrieval
+from corpusflow.plans import conversation, ingest, media, oracle, retrieval, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": retrieval.chunk_documents,
@@ -56,6 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "image_resize_plan": media.image_resize_plan,
     "frame_resize_plan": media.frame_resize_plan,
     "video_stats": media.video_stats,
+    "stream_ingest": streams.stream_ingest,
+    "stream_search": streams.stream_search,
+    "docx_extract": streams.docx_extract,
+    "csv_render": streams.csv_render,
 }
 
 
