@@ -40,6 +40,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.partitions import parallelism
+
 from corpusflow.config import DEFAULT, Settings
 from corpusflow.functions.vectors import sq_l2
 from corpusflow.session import checkpoint_dir, ship_package
@@ -198,7 +200,7 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
               .groupBy("cell", "sub")
               .agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
               .select("cell", "sub", F.col("rows.id").alias("ids"), F.col("rows.vec").alias("vecs")))
-    parts = max(1, min(sum(n_sub.values()), spark.sparkContext.defaultParallelism * 4))
+    parts = max(1, min(sum(n_sub.values()), parallelism(spark) * 4))
     blocks = blocks.repartition(parts, "cell", "sub")
     blocks = blocks.checkpoint() if ckpt else blocks.cache()
     return IvfIndex(cents, counts, radius, n_sub, blocks, base, id_type, dim, settings)

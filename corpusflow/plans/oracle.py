@@ -109,7 +109,7 @@ SELECT doc_id, chunk_index, chunk_total, chunk FROM chunks"""
 
 ORACLES["chunk_stats"] = "WITH RECURSIVE " + chunk_ctes() + """
 SELECT doc_id, count(*) AS n_chunks, arg_min(substr(chunk, 1, 100), chunk_index) AS preview,
-       max(length(chunk)) AS max_len, sum(length(chunk)) AS total_len
+       max(length(chunk))::INTEGER AS max_len, sum(length(chunk))::BIGINT AS total_len
 FROM chunks GROUP BY doc_id"""
 
 ORACLES["hash_embed_buckets"] = """
@@ -125,7 +125,7 @@ first_chunk AS (SELECT b.item_id, c.chunk FROM benchmark b LEFT JOIN qchunks c O
 
 ORACLES["index_rows"] = "WITH RECURSIVE " + DOC_CHUNKS + """
 SELECT filename || '_' || chunk_index AS id, filename AS source, file_type, chunk_index, chunk_total,
-       (chunk_index // 7)::VARCHAR AS batch, length(chunk) AS doc_len
+       (chunk_index // 7)::VARCHAR AS batch, length(chunk)::INTEGER AS doc_len
 FROM doc_chunks"""
 
 ORACLES["index_batches"] = "WITH RECURSIVE " + DOC_CHUNKS + """
@@ -142,7 +142,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id
 
 ORACLES["search_json"] = "WITH RECURSIVE " + CHUNK_VECS + "," + _BENCH_VEC + """,
 hits AS (""" + _knn("(SELECT item_id AS query_id, vec FROM bq)", "coll", "10") + """)
-SELECT h.query_id, to_json({'data': {'ids': list(h.id ORDER BY h.distance, h.id)}, 'query': any_value(b.text)}) AS body
+SELECT h.query_id, to_json({'data': {'ids': list(h.id ORDER BY h.distance, h.id)}, 'query': any_value(b.text)})::VARCHAR AS body
 FROM hits h JOIN benchmark b ON b.item_id = h.query_id GROUP BY h.query_id"""
 
 _CHAT_HITS = "WITH RECURSIVE " + CHUNK_VECS + "," + chunk_ctes("benchmark", "item_id", "text", prefix="q") + """,
@@ -181,7 +181,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, ve
 
 ORACLES["knn_nested"] = f"""
 WITH hits AS ({_knn(f"(SELECT vec_id AS query_id, vec FROM {_EMB})", _EMB, "5", ckey="vec_id")})
-SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY distance, vec_id) AS ids, count(*) AS n,
+SELECT query_id, string_agg(vec_id::VARCHAR, ',' ORDER BY distance, vec_id) AS ids, count(*)::INTEGER AS n,
        round(list_reduce(list(distance ORDER BY distance, vec_id), lambda a, b: a + b), 6) AS dist_sum
 FROM hits GROUP BY query_id"""
 
@@ -263,7 +263,7 @@ _TOKENS = ("list_filter(list_transform(string_split(content, ' '), lambda w, i:
            " lambda t: t <> '')")
 
 ORACLES["event_frames"] = f"""
-SELECT conversation_id, turn, len(toks) AS n_events,
+SELECT conversation_id, turn, len(toks)::INTEGER AS n_events,
        'id: ' || conversation_id || chr(10) || chr(10) ||
        array_to_string(list_transform(toks, lambda t: 'data: ' || t || chr(10) || chr(10)), '') AS body
 FROM (SELECT conversation_id, turn, {_TOKENS} AS toks FROM {_MSG} WHERE role = 'assistant')"""
@@ -274,7 +274,7 @@ r AS (SELECT conversation_id, turn,
              array_to_string(list_transform(list_filter(string_split(body, chr(10) || chr(10)),
                                                         lambda e: starts_with(e, 'data: ')),
                                             lambda e: substr(e, 7)), '') AS rebuilt FROM f)
-SELECT r.conversation_id, r.turn, length(r.rebuilt) AS rebuilt_len, r.rebuilt = m.content AS same
+SELECT r.conversation_id, r.turn, length(r.rebuilt)::INTEGER AS rebuilt_len, r.rebuilt = m.content AS same
 FROM r JOIN {_MSG} m USING (conversation_id, turn)"""
 
 _NREQ = ("(SELECT item_id AS query_id, text, CASE WHEN item_id % 5 = 0 THEN 0 ELSE 5 END AS n_results "
@@ -316,7 +316,7 @@ SELECT t.doc_id, t.filename, t.file_type, 'unsupported' AS reason
 FROM {_TYPED} t WHERE NOT EXISTS (SELECT 1 FROM {_FORMATS} f WHERE f.file_type = t.file_type)"""
 
 ORACLES["text_newline_normalise"] = """
-SELECT doc_id, length(dec) AS n_chars, dec = text AS same FROM (
+SELECT doc_id, length(dec)::INTEGER AS n_chars, dec = text AS same FROM (
   SELECT doc_id, text, regexp_replace(decode(encode(replace(text, chr(10),
          CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(13) END))), chr(13) || chr(10) || '?', chr(10), 'g') AS dec
   FROM documents)"""
@@ -336,7 +336,7 @@ ORACLES["count_match_check"] = "WITH RECURSIVE " + chunk_ctes() + """
 SELECT doc_id, count(*) AS n_chunks, count(*) AS n_embeddings, true AS ok FROM chunks GROUP BY doc_id"""
 
 ORACLES["dimension_check"] = """
-SELECT count(*) AS n_vectors, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+SELECT count(*) AS n_vectors, min(len(embedding))::INTEGER AS min_dim, max(len(embedding))::INTEGER AS max_dim,
        min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS matches FROM embeddings"""
 
 ORACLES["insert_if_absent"] = """
@@ -454,9 +454,9 @@ FROM (SELECT o_custkey AS video_id, count(*) AS frames, (o_custkey % 4) * 10 AS
 
 ORACLES["stream_ingest"] = "WITH RECURSIVE " + DOC_CHUNKS + """
 SELECT filename || '_' || chunk_index AS id, filename AS source, chunk_index, chunk_total,
-       (chunk_index // 5000)::VARCHAR AS batch, length(chunk) AS doc_len
+       (chunk_index // 5000)::VARCHAR AS batch, length(chunk)::INTEGER AS doc_len
 FROM doc_chunks"""
 
 ORACLES["stream_search"] = ORACLES["text_search"]
 
-ORACLES["docx_extract"] = "SELECT doc_id, length(text) AS n_chars, true AS same FROM documents"
+ORACLES["docx_extract"] = "SELECT doc_id, length(text)::INTEGER AS n_chars, true AS same FROM documents"
