@@ -43,7 +43,6 @@ from pyspark.sql import types as T
 from corpusflow.functions.partitions import parallelism
 
 from corpusflow.config import DEFAULT, Settings
-from corpusflow.functions.vectors import sq_l2
 from corpusflow.session import checkpoint_dir, ship_package
 
 _EPS = 1e-9
@@ -337,17 +336,6 @@ def knn(queries: DataFrame, collection: DataFrame, k: int | Column = 10, *, quer
     return search(index, queries, k, query_id, query_vec, exact=exact)
 
 
-def knn_expression(queries: DataFrame, collection: DataFrame, k: int = 10, *, query_id="query_id",
-                   query_vec="embedding", id_col="id", vec_col="embedding") -> DataFrame:
-    """Brute-force reference path for tests on small fixtures only (all pairs)."""
-    pairs = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv")).crossJoin(
-        collection.select(F.col(id_col).alias("id"), F.col(vec_col).alias("xv")))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (pairs.select("query_id", "id", sq_l2(F.col("qv"), F.col("xv")).alias("distance"))
-            .withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "id", "distance"))
-
-
 def nest_results(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """one row per query with parallel lists ``ids``, ``distances`` (+ extras), nearest first."""
     extra = extra or []
