@@ -4,7 +4,7 @@ Exact search runs on an inverted-file layout, expressed with equi-joins only
 (no cross join, no all-pairs per group):
 
 1. Index build (once per collection): pick ``C`` cell centroids (``C`` grows
-   as sqrt(N) and is capped by ``Settings.max_cells`` so the centroid matrix
+   as N / block_rows and is capped by ``Settings.max_cells`` so the centroid matrix
    held by the driver has a proven bound), assign each vector to its nearest
    centroid, and pack each cell into sub-blocks of about ``block_rows``
    vectors. A hot cell (e.g. a third of all rows are copies of one vector)
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from corpusflow.functions.partitions import parallelism
 
 from corpusflow.config import DEFAULT, Settings
-from corpusflow.session import checkpoint_dir, ship_package
+from corpusflow.session import checkpoint_dir, materialize, ship_package
 
 _EPS = 1e-9
 
@@ -166,7 +166,7 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
     ship_package(spark)
     base = collection.select(F.col(id_col).alias("id"),
                              F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), *(payload or []))
-    base = base.checkpoint() if checkpoint_dir(spark) else base.cache()
+    base = materialize(base)
     id_type = base.schema["id"].dataType
     n = base.count()
     if n == 0:
@@ -175,7 +175,9 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType())))]))
         return IvfIndex(np.zeros((0, 0)), {}, {}, {}, empty, base, id_type, 0, settings)
-    c = n_cells or max(1, min(settings.max_cells, int(round(math.sqrt(n)))))
+    # about one block of vectors per cell: a probe scores whole blocks, and a
+    # query is replicated to few cells even when pruning is weak
+    c = n_cells or max(1, min(settings.max_cells, int(round(n / settings.block_rows))))
     # Centroids: the C vectors with the smallest seeded hash of their id — a
     # deterministic spread sample chosen by a distributed top-C (partial per
     # task). Any centroid choice keeps results exact; better ones only prune
@@ -188,7 +190,6 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
     # and once for the blocks rather than writing another copy
     assigned = base.withColumn("a", _assign_udf(cents)(F.col("vec"))).select(
         "id", "vec", F.col("a.cell").alias("cell"), F.col("a.cdist").alias("cdist"))
-    ckpt = checkpoint_dir(spark)
     stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cdist").alias("r")).collect()
     counts = {int(r.cell): int(r.n) for r in stats}
     radius = {int(r.cell): float(r.r) for r in stats}
@@ -201,7 +202,7 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
               .select("cell", "sub", F.col("rows.id").alias("ids"), F.col("rows.vec").alias("vecs")))
     parts = max(1, min(sum(n_sub.values()), parallelism(spark) * 4))
     blocks = blocks.repartition(parts, "cell", "sub")
-    blocks = blocks.checkpoint() if ckpt else blocks.cache()
+    blocks = materialize(blocks)
     return IvfIndex(cents, counts, radius, n_sub, blocks, base, id_type, dim, settings)
 
 
@@ -314,11 +315,11 @@ def search(index: IvfIndex, queries: DataFrame, k: int | Column = 10, query_id:
     radius = np.array([index.radius.get(c, 0.0) for c in range(C)], dtype=np.float64)
     q = q.withColumn("pl", _plan_udf(index.centroids, counts, exact, n_probe)(F.col("qvec"), F.col("k")))
     q = q.select("query_id", "qvec", "k", F.col("pl.cd").alias("cd"), F.col("pl.p1").alias("p1"))
-    q = q.checkpoint() if checkpoint_dir(spark) else q.cache()
+    q = materialize(q)
     cand1 = _probe(index, q.select("query_id", "qvec", "k", F.explode("p1").alias("cell")))
     if not exact:
         return _top_k(cand1, k_lit).select(*out_cols)
-    cand1 = cand1.checkpoint() if checkpoint_dir(spark) else cand1.cache()
+    cand1 = materialize(cand1)
     top1 = _top_k(cand1, k_lit)
     kth = top1.groupBy("query_id").agg(F.max("distance").alias("dk"), F.count(F.lit(1)).alias("got"))
     q2 = (q.join(kth, "query_id", "left")

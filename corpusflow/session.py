@@ -90,3 +90,21 @@ def ship_package(spark: SparkSession) -> None:
         os.replace(tmp, out)
     sc.addPyFile(str(out))
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """Checkpoint ``df`` to the shared checkpoint folder, computing it once.
+
+    A reliable checkpoint of an unpersisted plan runs it twice (one job to
+    count, another to write); persisting first makes the write read the
+    cached blocks. The cache is dropped once the checkpoint exists.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    if not checkpoint_dir(spark):
+        return df.cache()
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
