@@ -85,12 +85,16 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id",
     """B2/F8: rows of ``new`` whose key is not stored yet (first copy wins).
 
     Duplicates inside ``new`` collapse to the copy with the smallest
-    ``order_col`` (a partial aggregate, so a hot key does not pile up in one
-    task); then a left-anti join on the key drops ids already stored.
+    ``order_col`` (else the smallest row) - a partial aggregate, so a hot key
+    does not pile up in one task - then a left-anti join on the key drops ids
+    already stored.
     """
     cols = new.columns
+    others = [c for c in cols if c != key]
     if order_col is None:
-        dedup = new.dropDuplicates([key])
+        # the smallest row wins: deterministic, so a retried task keeps the same copy
+        dedup = (new.groupBy(key).agg(F.min(F.struct(*others)).alias("r"))
+                 .select(key, "r.*").select(*cols))
     else:
         dedup = (new.groupBy(key)
                  .agg(F.min_by(F.struct(*[c for c in cols if c != key]), F.col(order_col)).alias("r"))

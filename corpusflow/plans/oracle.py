@@ -460,3 +460,7 @@ FROM doc_chunks"""
 ORACLES["stream_search"] = ORACLES["text_search"]
 
 ORACLES["docx_extract"] = "SELECT doc_id, length(text)::INTEGER AS n_chars, true AS same FROM documents"
+
+ORACLES["chunk_documents_native"] = ORACLES["chunk_documents"]
+
+ORACLES["stream_query_log"] = "SELECT text AS query, 5 AS num_results FROM benchmark"

@@ -10,6 +10,7 @@ from corpusflow.plans import conversation, ingest, media, oracle, retrieval, str
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_documents": retrieval.chunk_documents,
+    "chunk_documents_native": retrieval.chunk_documents_native,
     "chunk_stats": retrieval.chunk_stats,
     "hash_embed_buckets": retrieval.hash_embed_buckets,
     "hash_embed_vectors": retrieval.hash_embed_vectors,
@@ -60,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_search": streams.stream_search,
     "docx_extract": streams.docx_extract,
     "csv_render": streams.csv_render,
+    "stream_query_log": streams.stream_query_log,
 }
 
 

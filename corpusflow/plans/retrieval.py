@@ -37,6 +37,14 @@ def chunk_documents(spark, base):
     return doc_chunks(spark, base).select("doc_id", "chunk_index", "chunk_total", "chunk")
 
 
+def chunk_documents_native(spark, base):
+    """D1 through the JVM-only greedy fold (no Python worker); same result as the exact path."""
+    _prep(spark)
+    docs = spread(read_table(spark, base, "documents").select("doc_id", "text"))
+    ch = chunking.chunk_documents(docs, "text", DEFAULT.chunk_width, method="native")
+    return ch.select("doc_id", "chunk_index", "chunk_total", "chunk")
+
+
 def chunk_stats(spark, base):
     return chunking.chunk_stats(doc_chunks(spark, base), "doc_id")
 
@@ -175,10 +183,10 @@ def knn_nested(spark, base):
 
 
 def knn_approx(spark, base):
-    """approximate k-NN (two probed cells, no exactness pass); rows-only check, recall in tests."""
+    """approximate k-NN (nearest cell only, no exactness pass); rows-only check, recall in bench/tests."""
     e = _emb(spark, base)
     idx = search.build_index(e, "vec_id", "embedding")
-    hits = search.search(idx, e.withColumnRenamed("vec_id", "query_id"), 10, exact=False, n_probe=2)
+    hits = search.search(idx, e.withColumnRenamed("vec_id", "query_id"), 10, exact=False, n_probe=1)
     return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 

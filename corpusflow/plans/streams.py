@@ -89,3 +89,13 @@ def csv_render(spark, base):
     files = o.select("o_orderkey", F.encode(body, "UTF-8").alias("content"), F.lit("csv").alias("extractor"))
     out = X.extract(files, key_cols=["o_orderkey", "extractor"])
     return out.select("o_orderkey", F.size(F.split("text", "\n")).alias("n_lines"), "error")
+
+
+def stream_query_log(spark, base):
+    """L2: text-search requests arrive as a stream and are appended to the query log per batch."""
+    _prep(spark)
+    root = L.stream_root(spark, "log")
+    req = _table_stream(spark, base, "benchmark").select(
+        F.col("text").alias("query"), F.lit(DEFAULT.default_n_results).alias("n_results"))
+    L.start_query_log(req, os.path.join(root, "log"), os.path.join(root, "checkpoint")).awaitTermination()
+    return spark.read.parquet(os.path.join(root, "log")).select("query", "num_results")
