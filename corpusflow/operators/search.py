@@ -325,7 +325,9 @@ def search(index: IvfIndex, queries: DataFrame, k: int | Column = 10, query_id:
     q2 = (q.join(kth, "query_id", "left")
           .withColumn("bound", F.when(F.col("got") >= F.col("k"), F.col("dk") * (1 + _EPS) + _EPS))
           .withColumn("p2", _pass2_udf(counts, radius)(F.col("cd"), F.col("p1"), F.col("bound"))))
-    cand2 = _probe(index, q2.select("query_id", "qvec", "k", F.explode("p2").alias("cell")))
+    # outer form + filter: keeps Catalyst from evaluating the pass-2 UDF twice
+    probes2 = q2.select("query_id", "qvec", "k", F.explode_outer("p2").alias("cell")).filter(F.col("cell").isNotNull())
+    cand2 = _probe(index, probes2)
     return _top_k(cand1.unionByName(cand2), k_lit).select(*out_cols)
 
 

@@ -50,8 +50,9 @@ def chunk_stats(spark, base):
 
 
 def _long_form(df: DataFrame, key_cols: list[str], vec_col: str = "embedding") -> DataFrame:
-    return (df.select(*key_cols, F.posexplode(vec_col).alias("bucket", "weight"))
-            .filter(F.col("weight") != 0)
+    # outer form: no inferred size(vec) > 0 filter that would evaluate the embedder twice
+    return (df.select(*key_cols, F.posexplode_outer(vec_col).alias("bucket", "weight"))
+            .filter(F.col("weight").isNotNull() & (F.col("weight") != 0))
             .select(*key_cols, F.col("bucket").cast("int").alias("bucket"),
                     F.round("weight", 6).alias("weight")))
 
