@@ -100,3 +100,17 @@ def insert_if_absent(spark, base):
     new = second.withColumn("version", F.lit(2)).unionByName(second.withColumn("version", F.lit(3)))
     fresh = index.insert_if_absent(new, existing, "vec_id", "version").drop("version")
     return existing.unionByName(fresh)
+
+
+def request_defaults(spark, base):
+    """Benchmark texts as JSON request bodies (n_results missing, null or given)."""
+    _prep(spark)
+    b = read_table(spark, base, "benchmark").select("item_id", "text")
+    n = F.col("item_id") % 3
+    body = (F.when(n == 0, F.to_json(F.struct(F.col("text").alias("query"))))
+            .when(n == 1, F.to_json(F.struct(F.col("text").alias("query"),
+                                             F.lit(None).cast("int").alias("n_results")), {"ignoreNullFields": "false"}))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("query"),
+                                          (F.col("item_id") % 60).cast("int").alias("n_results")))))
+    r = files.requests_from_json(b.select("item_id", body.alias("value")), "value", DEFAULT.default_n_results)
+    return r.select("item_id", F.length("query").alias("query_len"), "n_results")

@@ -464,3 +464,8 @@ ORACLES["docx_extract"] = "SELECT doc_id, length(text)::INTEGER AS n_chars, true
 ORACLES["chunk_documents_native"] = ORACLES["chunk_documents"]
 
 ORACLES["stream_query_log"] = "SELECT text AS query, 5 AS num_results FROM benchmark"
+
+ORACLES["request_defaults"] = """
+SELECT item_id, length(text)::INTEGER AS query_len,
+       (CASE WHEN item_id % 3 = 2 THEN item_id % 60 ELSE 5 END)::INTEGER AS n_results
+FROM benchmark"""

@@ -47,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_match_check": ingest.count_match_check,
     "dimension_check": ingest.dimension_check,
     "insert_if_absent": ingest.insert_if_absent,
+    "request_defaults": ingest.request_defaults,
     "frame_stride": media.frame_stride,
     "frame_relevance": media.frame_relevance,
     "frame_cap": media.frame_cap,

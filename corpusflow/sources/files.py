@@ -97,7 +97,11 @@ def paged_text(pages: DataFrame, key: str, page_col: str, text_col: str) -> Data
 
 
 def requests_from_json(raw: DataFrame, value_col: str = "value", default_n_results: int = 5) -> DataFrame:
-    """Decode request bodies; a missing or null ``n_results`` becomes the default."""
+    """Decode request bodies; a missing or null ``n_results`` becomes the default.
+
+    Other columns of ``raw`` (e.g. a request key) are kept.
+    """
     schema = "query string, n_results int, conversation_id long"
-    r = raw.select(F.from_json(F.col(value_col), schema).alias("r")).select("r.*")
+    keep = [c for c in raw.columns if c != value_col]
+    r = raw.select(*keep, F.from_json(F.col(value_col), schema).alias("r")).select(*keep, "r.*")
     return r.withColumn("n_results", F.coalesce("n_results", F.lit(default_n_results)))

@@ -81,3 +81,43 @@ def start_search(requests_stream: DataFrame, idx: search.IvfIndex, out_path: str
     w = requests_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def files_to_documents(files_df: DataFrame, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A1-A4, A10, C1/C2 on a batch of ``binaryFile`` rows: (documents, rejects).
+
+    documents: ``filename, file_type, text``; rejects: ``filename, file_type, reason``.
+    """
+    from corpusflow.sources import extract, files
+
+    good, unsupported = files.route(files_df)
+    ex = extract.extract(good.select("filename", "file_type", "extractor", "content"), extractors,
+                         key_cols=["filename", "file_type", "extractor"])
+    ok, failed = extract.split_extracted(ex)
+    docs, blank = files.split_valid(ok, "text")
+    rejects = (unsupported.select("filename", "file_type", "reason")
+               .unionByName(failed.select("filename", "file_type", "reason"))
+               .unionByName(blank.select("filename", "file_type", "reason")))
+    return docs.select("filename", "file_type", "text"), rejects
+
+
+def start_file_ingest(spark: SparkSession, folder: str, collection_path: str, rejects_path: str,
+                      checkpoint_location: str, available_now: bool = True, extractors: dict | None = None,
+                      settings: Settings = DEFAULT):
+    """L1 over files: new files in ``folder`` are routed, extracted, validated, chunked,
+    embedded and added (insert-if-absent); rejects are written per batch id."""
+    ship_package(spark)
+    schema = "path string, modificationTime timestamp, length long, content binary"  # the binaryFile schema
+    stream = (spark.readStream.format("binaryFile").schema(schema)
+              .option("recursiveFileLookup", "true").load(folder))
+    stream = stream.withColumn("filename", F.regexp_extract("path", r"([^/\\]*)$", 1))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        docs, rejects = files_to_documents(batch, extractors)
+        rejects.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            os.path.join(rejects_path, f"batch={batch_id}"))
+        index.add_to_collection(ingest_batch(docs, settings=settings), collection_path, settings)
+
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

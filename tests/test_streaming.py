@@ -46,3 +46,24 @@ def test_query_log_and_search_streams(spark, tmpdir_path):
     streamed = {(r.query_id, r.rank, r.id) for r in spark.read.parquet(out).collect()}
     batch = {(r.query_id, r.rank, r.id) for r in retrieval.text_search(spark, base).collect()}
     assert streamed == batch
+
+
+def test_file_stream_ingest_routes_extracts_and_rejects(spark, tmpdir_path):
+    from corpusflow.sources.extract import make_docx
+
+    src = os.path.join(tmpdir_path, "files")
+    os.makedirs(src)
+    content = {"a.txt": b"plain words here\r\nsecond line", "b.docx": make_docx(["para one", "para two"]),
+               "c.zip": b"PK\x03\x04", "d.csv": b"x,y\n1,2\n", "e.md": b" \n ", "f.pdf": b"%PDF-1.4"}
+    for name, data in content.items():
+        with open(os.path.join(src, name), "wb") as f:
+            f.write(data)
+    coll, rej = os.path.join(tmpdir_path, "coll"), os.path.join(tmpdir_path, "rej")
+    L.start_file_ingest(spark, src, coll, rej, os.path.join(tmpdir_path, "ck")).awaitTermination()
+    docs = {r.id: r.document for r in spark.read.parquet(coll).collect()}
+    assert docs["a.txt_0"] == "plain words here second line"
+    assert docs["b.docx_0"] == "para one para two"
+    assert "d.csv_0" in docs
+    reasons = {r.filename: r.reason for r in spark.read.parquet(rej).collect()}
+    assert reasons["c.zip"] == "unsupported" and reasons["e.md"] == "blank"
+    assert reasons["f.pdf"].startswith("Error processing pdf file")

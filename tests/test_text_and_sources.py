@@ -76,3 +76,30 @@ def test_hash_embedder_jvm_equals_python(spark):
     ref = HashEmbedder(64).embed(texts)
     assert np.allclose(np.array(got), ref, atol=1e-15)
     assert np.allclose([np.linalg.norm(v) for v in got], [1, 0, 1, 1])
+
+
+def test_model_embedder_plugin(spark):
+    class Lengths:  # a stand-in model: [len, words]; local class, pickled by value
+        dimension = 2
+
+        def load(self):
+            self.ready = True
+
+        def embed(self, texts):
+            return np.array([[len(t), len(t.split())] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([("a bc",), ("",), ("x y z",)], "t string")
+    got = [r.v for r in df.select(embed_column(F.col("t"), Lengths()).alias("v")).collect()]
+    assert got == [[4.0, 2.0], [0.0, 0.0], [5.0, 3.0]]
+
+
+def test_reject_empty_embeddings_and_metadata_strip(spark):
+    from corpusflow.operators.frames import strip_image_metadata
+    from corpusflow.operators.index import reject_empty_embeddings
+
+    rows = spark.createDataFrame([("a", [1.0]), ("b", []), ("c", None)], "id string, embedding array<double>")
+    good, bad = reject_empty_embeddings(rows)
+    assert [r.id for r in good.collect()] == ["a"] and sorted(r.id for r in bad.collect()) == ["b", "c"]
+    img = spark.createDataFrame([("p", 2, 3, 3, 16, b"xx", "exif", "gps")],
+                                "origin string, height int, width int, nChannels int, mode int, data binary, exif string, gps string")
+    assert strip_image_metadata(img).columns == ["origin", "height", "width", "nChannels", "mode", "data"]
