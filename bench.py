@@ -14,7 +14,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from corpusflow.plans import registry  # noqa: E402
 from corpusflow.session import build_session, checkpoint_dir  # noqa: E402

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from corpusflow.functions.partitions import parallelism
 
 from corpusflow.config import DEFAULT, Settings
-from corpusflow.session import checkpoint_dir, materialize, ship_package
+from corpusflow.session import materialize, ship_package
 
 _EPS = 1e-9
 
