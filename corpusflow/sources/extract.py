@@ -110,3 +110,39 @@ def split_extracted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A10: good rows and rejects (with the error as reason)."""
     return (df.filter(F.col("error").isNull()).drop("error"),
             df.filter(F.col("error").isNotNull()).withColumnRenamed("error", "reason"))
+
+
+# --- multi-row extraction (paged files) ------------------------------------------
+
+PageSplitter = Callable[[bytes], list]
+
+
+def split_form_feed_pages(data: bytes) -> list:
+    """Built-in page splitter: UTF-8 text with pages separated by form feeds."""
+    return extract_text(data).split("\f")
+
+
+def page_extractor(splitter: PageSplitter = split_form_feed_pages):
+    """K3 multi-row plug-in: a Python UDTF yielding ``(page_no, text)`` per page.
+
+    Used through a lateral join so every file fans out to its pages inside
+    the task that read it; a PDF engine plugs in as another ``splitter``.
+    """
+
+    @F.udtf(returnType="page_no int, text string")
+    class Pages:
+        def eval(self, content):
+            if content is None:
+                return
+            for i, page in enumerate(splitter(bytes(content))):
+                yield i, page
+
+    return Pages
+
+
+def extract_pages(files_df: DataFrame, key: str = "filename", content_col: str = "content",
+                  splitter: PageSplitter = split_form_feed_pages) -> DataFrame:
+    """A7 rows: ``key, page_no, text`` for every page of every file."""
+    pages = page_extractor(splitter)
+    return files_df.select(key, content_col).lateralJoin(
+        pages(F.col(content_col).outer())).select(key, "page_no", "text")

@@ -103,3 +103,24 @@ def test_reject_empty_embeddings_and_metadata_strip(spark):
     img = spark.createDataFrame([("p", 2, 3, 3, 16, b"xx", "exif", "gps")],
                                 "origin string, height int, width int, nChannels int, mode int, data binary, exif string, gps string")
     assert strip_image_metadata(img).columns == ["origin", "height", "width", "nChannels", "mode", "data"]
+
+
+def test_paged_files_through_udtf(spark):
+    from corpusflow.sources.extract import extract_pages
+
+    files_df = spark.createDataFrame([("a.txt", "p one\fp two\fp three".encode()), ("b.txt", b"single")],
+                                     "filename string, content binary")
+    pages = extract_pages(files_df)
+    got = {(r.filename, r.page_no): r.text for r in pages.collect()}
+    assert got == {("a.txt", 0): "p one", ("a.txt", 1): "p two", ("a.txt", 2): "p three", ("b.txt", 0): "single"}
+    text = {r.filename: r.text for r in files.paged_text(pages, "filename", "page_no", "text").collect()}
+    assert text == {"a.txt": "p one\np two\np three\n", "b.txt": "single\n"}
+
+
+def test_dense_histogram(spark):
+    from corpusflow.operators.frames import dense_histogram, histogram
+
+    v = spark.createDataFrame([(1, 0.5), (1, 0.7), (1, 3.2), (1, 300.0), (2, 255.9)], "video long, value double")
+    d = {r.video: r.hist for r in dense_histogram(histogram(v, ["video"], "value", 256), ["video"], 256).collect()}
+    assert len(d[1]) == 256 and d[1][0] == 2.0 and d[1][3] == 1.0 and sum(d[1]) == 3.0
+    assert d[2][255] == 1.0 and sum(d[2]) == 1.0
