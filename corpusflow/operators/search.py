@@ -348,3 +348,27 @@ def nest_results(hits: DataFrame, extra: list[str] | None = None) -> DataFrame:
     g = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("r"))
     return g.select("query_id", F.col("r.id").alias("ids"), F.col("r.distance").alias("distances"),
                     *[F.col(f"r.{e}").alias(f"{e}s") for e in extra])
+
+
+def save_index(index: IvfIndex, path: str) -> None:
+    """Persist an index: blocks and rows as Parquet, centroids and cell statistics as a
+    small table (one row per cell, bounded by ``max_cells``)."""
+    spark = index.blocks.sparkSession
+    index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    index.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    cells = [(int(c), [float(x) for x in index.centroids[c]], int(index.counts.get(c, 0)),
+              float(index.radius.get(c, 0.0)), int(index.n_sub.get(c, 1))) for c in range(index.centroids.shape[0])]
+    spark.createDataFrame(cells, "cell int, centroid array<double>, n long, radius double, n_sub int") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def load_index(spark, path: str, settings: Settings = DEFAULT) -> IvfIndex:
+    """Open an index written by ``save_index`` (no rebuild; blocks are re-partitioned on read)."""
+    cells = sorted(spark.read.parquet(f"{path}/cells").collect(), key=lambda r: r.cell)
+    cents = np.stack([np.asarray(r.centroid, dtype=np.float64) for r in cells]) if cells else np.zeros((0, 0))
+    rows = spark.read.parquet(f"{path}/rows")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    counts = {r.cell: int(r.n) for r in cells if r.n > 0}
+    return IvfIndex(cents, counts, {r.cell: float(r.radius) for r in cells if r.n > 0},
+                    {r.cell: int(r.n_sub) for r in cells if r.n > 0}, blocks, rows,
+                    rows.schema["id"].dataType, cents.shape[1] if cells else 0, settings)

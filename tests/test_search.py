@@ -100,3 +100,16 @@ def test_nest_results(spark):
     hits = spark.createDataFrame([(1, 2, "b", 0.5), (1, 1, "a", 0.1)], "query_id long, rank long, id string, distance double")
     r = search.nest_results(hits).first()
     assert r.ids == ["a", "b"] and r.distances == [0.1, 0.5]
+
+
+def test_index_save_and_load(spark, tmpdir_path):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(120, 6))
+    Q = rng.normal(size=(9, 6))
+    q, c = frames(spark, Q, X)
+    idx = search.build_index(c, "id", "embedding", DEFAULT.with_(block_rows=16))
+    search.save_index(idx, f"{tmpdir_path}/idx")
+    again = search.load_index(spark, f"{tmpdir_path}/idx", DEFAULT.with_(block_rows=16))
+    a = sorted(map(tuple, search.search(idx, q, 5).collect()))
+    b = sorted(map(tuple, search.search(again, q, 5).collect()))
+    assert a == b and len(a) == 45
