@@ -315,13 +315,13 @@ def search(index: IvfIndex, queries: DataFrame, k: int | Column = 10, query_id:
     radius = np.array([index.radius.get(c, 0.0) for c in range(C)], dtype=np.float64)
     q = q.withColumn("pl", _plan_udf(index.centroids, counts, exact, n_probe)(F.col("qvec"), F.col("k")))
     q = q.select("query_id", "qvec", "k", F.col("pl.cd").alias("cd"), F.col("pl.p1").alias("p1"))
-    # small and deterministic (numpy on fixed inputs): a cache is enough, a lost
-    # partition recomputes to the same rows; the index itself is checkpointed
-    q = q.persist()
+    # checkpointed, not cached: nothing stays pinned in executor memory after
+    # the search, and the returned plan reads from the shared folder
+    q = materialize(q)
     cand1 = _probe(index, q.select("query_id", "qvec", "k", F.explode("p1").alias("cell")))
     if not exact:
         return _top_k(cand1, k_lit).select(*out_cols)
-    cand1 = cand1.persist()
+    cand1 = materialize(cand1)
     top1 = _top_k(cand1, k_lit)
     kth = top1.groupBy("query_id").agg(F.max("distance").alias("dk"), F.count(F.lit(1)).alias("got"))
     q2 = (q.join(kth, "query_id", "left")
