@@ -113,3 +113,18 @@ def test_index_save_and_load(spark, tmpdir_path):
     a = sorted(map(tuple, search.search(idx, q, 5).collect()))
     b = sorted(map(tuple, search.search(again, q, 5).collect()))
     assert a == b and len(a) == 45
+
+
+def test_approx_recall_grows_with_probes(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(400, 8))
+    Q = rng.normal(size=(30, 8))
+    q, c = frames(spark, Q, X)
+    idx = search.build_index(c, "id", "embedding", DEFAULT.with_(block_rows=25))  # 16 cells
+    cells = idx.centroids.shape[0]
+    exact = {(r.query_id, r.id) for r in search.search(idx, q, 10).collect()}
+    recalls = []
+    for p in [1, 4, cells]:
+        got = {(r.query_id, r.id) for r in search.search(idx, q, 10, exact=False, n_probe=p).collect()}
+        recalls.append(len(got & exact) / len(exact))
+    assert recalls == sorted(recalls) and recalls[-1] == 1.0
