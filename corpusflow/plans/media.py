@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.config import DEFAULT
+from corpusflow.functions.partitions import spread
 from corpusflow.operators import frames as G
 from corpusflow.plans.retrieval import _prep
 from corpusflow.sources.tables import read_table
@@ -80,7 +81,7 @@ def sequence_dedup(spark, base):
 def ocr_token_text(spark, base):
     """Document lines as frames and words as OCR tokens."""
     _prep(spark)
-    d = read_table(spark, base, "documents").select("doc_id", "text")
+    d = spread(read_table(spark, base, "documents").select("doc_id", "text"))
     lines = d.select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("frame_no", "line"))
     toks = lines.select("video_id", "frame_no", F.posexplode(F.split("line", " ")).alias("token_no", "text"))
     toks = toks.withColumn("conf", F.conv(F.substring(F.md5(F.col("text")), 1, 2), 16, 10).cast("int")
