@@ -469,3 +469,5 @@ ORACLES["request_defaults"] = """
 SELECT item_id, length(text)::INTEGER AS query_len,
        (CASE WHEN item_id % 3 = 2 THEN item_id % 60 ELSE 5 END)::INTEGER AS n_results
 FROM benchmark"""
+
+ORACLES["paged_file_extract"] = ORACLES["paged_text_concat"]

@@ -63,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "docx_extract": streams.docx_extract,
     "csv_render": streams.csv_render,
     "stream_query_log": streams.stream_query_log,
+    "paged_file_extract": streams.paged_file_extract,
 }
 
 

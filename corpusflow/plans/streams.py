@@ -99,3 +99,17 @@ def stream_query_log(spark, base):
         F.col("text").alias("query"), F.lit(DEFAULT.default_n_results).alias("n_results"))
     L.start_query_log(req, os.path.join(root, "log"), os.path.join(root, "checkpoint")).awaitTermination()
     return spark.read.parquet(os.path.join(root, "log")).select("query", "num_results")
+
+
+def paged_file_extract(spark, base):
+    """A7 + K3: each conversation written as a paged file (turns = pages, form-feed separated),
+    split back into pages by the UDTF extractor, then concatenated page by page."""
+    from corpusflow.operators.prompt import ordered_join
+    from corpusflow.sources import files as S
+
+    _prep(spark)
+    c = read_table(spark, base, "conversations")
+    paged = c.groupBy("conv_id").agg(ordered_join(F.col("turn"), F.col("text"), "\f").alias("t"))
+    files_df = paged.select("conv_id", F.encode("t", "UTF-8").alias("content"))
+    pages = X.extract_pages(files_df, key="conv_id")
+    return S.paged_text(pages, "conv_id", "page_no", "text")
