@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import quality_rules
+from corpusflow.llm import mix_tree, packing, quality_rules, secrets
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_source_mix": mix_tree.op8_source_mix,
+    "op10_secret_scan": secrets.op10_secret_scan,
+}
+ORACLES: dict[str, str] = {
+    "op8_source_mix": mix_tree.ORACLE,
 }
-ORACLES: dict[str, str] = {}
