@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import mix_tree, packing, quality_rules, secrets
+from corpusflow.llm import mix_tree, odd_sketch, packing, quality_rules, secrets
 
 QUERIES = {
+    "op3_odd_sketch": odd_sketch.op3_odd_sketch,
     "op4_packing": packing.op4_packing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_source_mix": mix_tree.op8_source_mix,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op3_odd_sketch": odd_sketch.ORACLE,
     "op8_source_mix": mix_tree.ORACLE,
 }
