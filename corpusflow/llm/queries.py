@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import mix_tree, odd_sketch, packing, quality_rules, secrets
+from corpusflow.llm import context_mixing, mix_tree, odd_sketch, packing, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op3_odd_sketch": odd_sketch.op3_odd_sketch,
     "op4_packing": packing.op4_packing,
+    "op5_context_mixing": context_mixing.op5_context_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_source_mix": mix_tree.op8_source_mix,
+    "op9_quality_model": quality_model.op9_quality_model,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
