@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import context_mixing, mix_tree, odd_sketch, packing, quality_model, quality_rules, secrets, toxicity
+from corpusflow.llm import bit_sliced, context_mixing, mix_tree, odd_sketch, packing, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
+    "op2_bit_sliced": bit_sliced.op2_bit_sliced,
     "op3_odd_sketch": odd_sketch.op3_odd_sketch,
     "op4_packing": packing.op4_packing,
     "op5_context_mixing": context_mixing.op5_context_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op2_bit_sliced": bit_sliced.ORACLE,
     "op3_odd_sketch": odd_sketch.ORACLE,
     "op8_source_mix": mix_tree.ORACLE,
 }
