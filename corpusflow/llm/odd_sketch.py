@@ -222,6 +222,23 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, one per group, with their own columns.
+
+    Of rows repeating an id that is kept one stays, whichever Spark meets first;
+    rows without an id all stay.
+    """
+    classes = stored(near_duplicates(docs, size, percent), "near-duplicates")
+    gone = classes.where("not kept").select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return out
+    repeats = F.col("doc_id").cast("long") == F.col("_again")
+    return out.join(again, repeats, "left_anti").unionByName(out.join(again, repeats, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op3_odd_sketch(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import bit_sliced, context_mixing, mix_tree, odd_sketch, packing, quality_model, quality_rules, secrets, toxicity
+from corpusflow.llm import bit_sliced, compact_windows, context_mixing, mix_tree, odd_sketch, packing, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
+    "op1_compact_windows": compact_windows.op1_compact_windows,
     "op2_bit_sliced": bit_sliced.op2_bit_sliced,
     "op3_odd_sketch": odd_sketch.op3_odd_sketch,
     "op4_packing": packing.op4_packing,
