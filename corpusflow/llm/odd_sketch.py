@@ -13,7 +13,8 @@ A block first reports a spanning forest of its likely links, and only where such
 a link fails all the others. No pair that a bucket holds stays unexamined.
 
 A pair at similarity 0.8 shares no band with probability 3e-6, and the sketch
-threshold loses it with about the same. Defined results: null or blank texts
+threshold loses it with about the same; more similar pairs are safer still. Set
+sizes that rule a similarity out are left out as well. Defined results: null or blank texts
 have no shingles and are linked with nothing; a null id takes no part and
 forms no component (``component_id`` null, kept); rows repeating an id share
 its class; extra columns are ignored; an empty table gives an empty table.
@@ -36,13 +37,14 @@ from corpusflow.llm.components import components
 from corpusflow.llm.shingles import group_bounds, hash_words, hashed_docs, mix, shingle_hashes, whole_groups, words
 
 BANDS, ROWS = 32, 5
-SAMPLES = BANDS * ROWS
-BITS = 512
-#: Estimates below this are taken for misses; 4.7 standard deviations below 0.8.
-LIKELY = 0.62
+#: MinHash values; the first ``BANDS * ROWS`` make the bands, all of them the sketch.
+SAMPLES = 640
+BITS = 2048
+#: Estimates below this are taken for misses; 4.6 standard deviations below 0.8.
+LIKELY = 0.72
 #: Members of a bucket compared in one block with those of another.
-BLOCK = 256
-_A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
+BLOCK = 128
+_A = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def max_xor(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
@@ -52,11 +54,14 @@ def max_xor(similarity: float, samples: int = SAMPLES, bits: int = BITS) -> int:
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """``SAMPLES`` 32-bit MinHash values of a non-empty set, in bounded memory."""
-    low = np.full(SAMPLES, np.uint64(0xFFFFFFFF))
-    for at in range(0, len(shingles), 8192):
-        part = (shingles[None, at:at + 8192] * _A[:, None]) >> np.uint64(32)
-        np.minimum(low, part.min(axis=1), out=low)
-    return low
+    low = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    part = np.empty((SAMPLES, 128), dtype=np.uint32)  # stays in the cache
+    for at in range(0, len(folded), 128):
+        x = folded[None, at:at + 128]
+        np.multiply(x, _A[:, None], out=part[:, :x.shape[1]])
+        np.minimum(low, part[:, :x.shape[1]].min(axis=1), out=low)
+    return low.astype(np.uint64)
 
 
 def sketch(low: np.ndarray) -> np.ndarray:
@@ -67,7 +72,7 @@ def sketch(low: np.ndarray) -> np.ndarray:
 
 
 def bands(low: np.ndarray) -> np.ndarray:
-    rows = low.reshape(BANDS, ROWS)
+    rows = low[:BANDS * ROWS].reshape(BANDS, ROWS)
     key = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for k in range(ROWS):
         key = mix(key + rows[:, k])
@@ -126,15 +131,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     return both.mapInPandas(run, "a long, b long")
 
 
-def _block_pairs(limit: int, forest: bool):
+def _block_pairs(limit: int, forest: bool, percent: int):
     """Likely pairs of a block whose members have different labels; a spanning forest of them, or all."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = ["key", "lo", "hi"]
         for pdf in whole_groups(frames, keys):
             bounds = group_bounds(pdf, keys)
-            ids, labels, parts = (pdf[c].to_numpy() for c in ("id", "label", "part"))
-            sketches = np.array(pdf["sketch"].tolist(), dtype=np.int64)
+            ids, labels, parts, sizes = (pdf[c].to_numpy() for c in ("id", "label", "part", "n_shingles"))
+            places, every = pdf["band"].to_numpy(), np.array(pdf["bands"].tolist(), dtype=np.int64)
+            sketches = np.array(pdf["sketch"].tolist(), dtype=np.int64).view(np.uint64)
             lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
             found = []
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -142,11 +148,16 @@ def _block_pairs(limit: int, forest: bool):
                 right = left if lo[s] == hi[s] else np.arange(s, e)[parts[s:e] == hi[s]]
                 if not len(left) or not len(right):
                     continue
-                far = np.bitwise_count(sketches[left][:, None] ^ sketches[right][None]).sum(axis=2)
+                far = np.bitwise_count(sketches[left][:, None] ^ sketches[right][None]).sum(axis=2, dtype=np.int32)
                 near = (far <= limit) & (labels[left][:, None] != labels[right][None])
+                n, m = sizes[left][:, None], sizes[right][None]
+                near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
                 if lo[s] == hi[s]:
                     near &= ids[left][:, None] < ids[right][None]
                 i, j = np.nonzero(near)
+                # a pair that shares several buckets is examined in the first of them
+                first = (every[left[i]] == every[right[j]]).argmax(axis=1) == places[s]
+                i, j = i[first], j[first]
                 if forest:
                     root: dict[int, int] = {}
 
@@ -169,17 +180,17 @@ def _block_pairs(limit: int, forest: bool):
     return run
 
 
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, forest: bool) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, forest: bool, percent: int) -> DataFrame:
     """Likely pairs ``a, b`` in the buckets whose members lie in several components."""
-    m = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    m = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
     m = stored(m, "labelled")
     open_ = m.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l <> h")
     open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
     rows = m.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     rows = rows.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "label", "sketch")
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "band", "id", "label", "n_shingles", "sketch", "bands")
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    return dealt.mapInPandas(_block_pairs(limit, forest), "a long, b long").distinct()
+    return dealt.mapInPandas(_block_pairs(limit, forest, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -187,24 +198,25 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     sig = stored(signatures(docs, size), "signatures")
     classes = sig.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("first"))
     classes = stored(classes, "classes")
-    own = sig.select("id", "sketch", "bands", F.col("fp").alias("f")).join(
-        classes, (F.col("f") == F.col("fp")) & (F.col("id") == F.col("first"))).select("id", "sketch", "bands")
+    own = sig.select("id", "n_shingles", "sketch", "bands", F.col("fp").alias("f")).join(
+        classes, (F.col("f") == F.col("fp")) & (F.col("id") == F.col("first"))).select("id", "n_shingles", "sketch", "bands")
     own = stored(own.dropDuplicates(["id"]), "class-signatures")
-    sketches = own.select("id", "sketch")
-    members = own.select("id", F.explode("bands").alias("key"))
+    sketches = own.select("id", "n_shingles", "sketch", "bands")
+    members = own.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
     members = stored(members.join(shared.select("key", "a"), "key"), "members")
     limit = max_xor(LIKELY)
     stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s")), "a").join(
-        sketches.select(F.col("id").alias("b"), F.col("sketch").alias("t")), "b").where(_xor_count("s", "t") <= limit).select("a", "b")
+    stars = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("s"), F.col("n_shingles").alias("n")), "a").join(
+        sketches.select(F.col("id").alias("b"), F.col("sketch").alias("t"), F.col("n_shingles").alias("m")), "b")
+    stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).where(_xor_count("s", "t") <= limit).select("a", "b")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     stars = stored(stars, "stars")
     links = stored(confirm(stars, texts, size, percent).distinct(), "links")
     tested, labels = stars, stored(components(links), "labels")
-    members = members.select("key", "id")
+    members = members.select("key", "band", "id")
     for forest in (True, False):
-        more = stored(_across(members, labels, sketches, limit, forest).join(tested, ["a", "b"], "left_anti"), "likely")
+        more = stored(_across(members, labels, sketches, limit, forest, percent).join(tested, ["a", "b"], "left_anti"), "likely")
         if more.isEmpty():
             if forest:
                 continue
