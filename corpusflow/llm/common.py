@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ``str.translate`` table that lower-cases A-Z and leaves every other character alone.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,10 +49,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(col):
-    return F.translate(col, UPPER, LOWER)
-
-
 def crc_part(doc_id, modulus: int):
     """crc32 of the id written as text, modulo ``modulus`` (null id: the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 
-from corpusflow.llm.common import ASCII_LOWER, WORD
+from corpusflow.llm.common import WORD
 
 _WORD = re.compile(WORD)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -16,7 +16,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def words(text: str | None) -> list[str]:
     """Lower-cased (A-Z) words of a text."""
-    return _WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    # bytes.lower changes A-Z only, and takes a fraction of str.translate's time
+    return _WORD.findall(text.encode().lower().decode()) if text else []
 
 
 def mix(x: np.ndarray) -> np.ndarray:

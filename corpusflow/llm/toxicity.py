@@ -38,7 +38,6 @@ SECOND = frozenset(
     "you your yours yourself u ur ya du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted vosotros".split())
 EDGES = "\"'`.,;:!?()[]{}<>«»„“”’…*_~-"
 LEET = str.maketrans("013457@$!|+", "oleastasilt")
-SEPARATED = re.compile(r"(?:^|(?<=[\x20\x09-\x0D]))(?:[^\W\d_][.\-_*]){2,}[^\W\d_](?![^\W_])")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 PREFIXES = (4, 5, 6)
 NEAR = 5
@@ -65,25 +64,43 @@ def disguised(token: str) -> str | None:
     return REPEATED.sub(r"\1", "".join(c for c in bare if c.isalpha()))
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The values of ``FEATURES``; all 0 without a word."""
+#: Judgements of tokens that a worker keeps at most.
+KEEP = 500_000
+
+
+def judge(token: str, lexicon: dict[str, float]) -> tuple | None:
+    """(built-in, learned weight, disguised, disguised hit, second person) of a token; None where all are 0."""
+    w = plain(token)
+    score = lexicon.get(w, 0.0)
+    for k in PREFIXES:
+        if len(w) > k:
+            score = max(score, lexicon.get(w[:k] + "~", 0.0))
+    mask = None if w.isalpha() and not REPEATED.search(w) else disguised(token)
+    masked = mask is not None and mask != w
+    known = (w in INSULTS, score, masked, masked and (mask in INSULTS or mask in lexicon), w in SECOND)
+    return known if any(known) else None
+
+
+def features(text: str | None, lexicon: dict[str, float], judged: dict) -> list[float]:
+    """The values of ``FEATURES``; all 0 without a word. ``judged`` keeps tokens' judgements between texts."""
     raw = words(text)
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
+    telling = {}
+    for token in set(raw):
+        known = judged.get(token, False)
+        if known is False:
+            known = judged[token] = judge(token, lexicon)
+        if known is not None:
+            telling[token] = known
     built = learned = weight = top = masked = hidden = 0.0
     hits: list[int] = []
     seconds: list[int] = []
-    judged: dict[str, tuple] = {}
-    for i, token in enumerate(raw):
-        known = judged.get(token)
-        if known is None:
-            w = plain(token)
-            score = max([lexicon.get(w, 0.0), *(lexicon.get(w[:k] + "~", 0.0) for k in PREFIXES if len(w) > k)])
-            mask = None if w.isalpha() and not REPEATED.search(w) else disguised(token)
-            found = mask is not None and mask != w and (mask in INSULTS or mask in lexicon)
-            known = judged[token] = (w in INSULTS, score, mask is not None and mask != w, found, w in SECOND)
-        a, score, m, found, second = known
+    for i, token in enumerate(raw) if telling else ():
+        if token not in telling:
+            continue
+        a, score, m, found, second = telling[token]
         built += a
         learned += score > 0
         weight += score
@@ -94,8 +111,6 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
             hits.append(i)
         if second:
             seconds.append(i)
-    spelled = SEPARATED.findall(text) if any(c in text for c in ".-_*") else []
-    hidden += sum("".join(c for c in s.lower() if c.isalpha()) in INSULTS for s in spelled)
     near = 0
     if hits and seconds:
         at = np.searchsorted(seconds, hits)
@@ -112,12 +127,17 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     runs = text.count("!!") + text.count("??") + text.count("?!")
     return [
         math.log(n), built / n, learned / n, min(learned, 50.0), weight / n, top, window / 50, len(seconds) / n, near / n,
-        upper / max(letters, 1), shouted / n, chars["!"] / n, chars["?"] / n, runs / n, (masked + len(spelled)) / n, hidden,
+        upper / max(letters, 1), shouted / n, chars["!"] / n, chars["?"] / n, runs / n, masked / n, hidden,
     ]
 
 
 def matrix(texts: Iterable, lexicon: dict[str, float]) -> np.ndarray:
-    return np.array([features(t, lexicon) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
+    judged, rows = {}, []
+    for t in texts:
+        if len(judged) > KEEP:
+            judged = {}
+        rows.append(features(t, lexicon, judged))
+    return np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
 
 
 def forms(text: str | None) -> set[str]:
