@@ -142,16 +142,16 @@ def apply_rules(docs: DataFrame, rules=RULES, text: str = "text", keep_columns:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     cols = list(dict.fromkeys([*keep_columns, text]))
     out = measures(docs.select(*cols), text).withColumns({"base_failed": failed, "broken_rules": broken})
-    kept = ~F.col("base_failed") & (F.size("broken_rules") == 0)
+    # the running number is never negative; it keeps Catalyst from pushing a filter on the verdict, and with it
+    # all the measures again, below every projection
+    kept = ~F.col("base_failed") & (F.size("broken_rules") == 0) & (F.monotonically_increasing_id() >= 0)
     return out.withColumn("kept", kept).select(*keep_columns, *MEASURES, "base_failed", "broken_rules", "kept")
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns unchanged."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"))
-    judged = apply_rules(packed, rules, "text", ("_row",))
-    # a running number keeps Catalyst from pushing the filter, and with it all measures again, below each projection
-    good = judged.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0")
+    good = apply_rules(packed, rules, "text", ("_row",)).where("kept")
     return good.select("_row.*")
 
 
