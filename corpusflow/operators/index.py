@@ -7,6 +7,7 @@ ingested_at)`` with a one-row properties table beside it (``dimension``,
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,12 +113,21 @@ def write_collection(rows: DataFrame, path: str, settings: Settings = DEFAULT, m
     return int(obs.get.get("n", 0))
 
 
+def read_if_there(spark, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None only where the path does not exist. Other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def add_to_collection(rows: DataFrame, path: str, settings: Settings = DEFAULT) -> int:
     """B2 + B1: idempotent append. Existing ids keep their stored row."""
     spark = rows.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write creates the collection
+    existing = read_if_there(spark, path)
+    if existing is None:  # first write creates the collection
         existing = spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType())]))
     fresh = insert_if_absent(rows, existing, "id")
     return write_collection(fresh, path, settings, "append")
@@ -130,10 +140,8 @@ def ensure_dimension(spark, props_path: str, dimension: int, model: str, allow_r
     Returns ``created``, ``ok`` or ``reset``. A mismatch without
     ``allow_reset`` raises instead of silently dropping the collection.
     """
-    try:
-        stored = spark.read.parquet(props_path).select("dimension").first()
-    except Exception:  # noqa: BLE001 - no properties yet
-        stored = None
+    known = read_if_there(spark, props_path)
+    stored = known.select("dimension").first() if known is not None else None
     props = spark.createDataFrame([(dimension, model)], "dimension int, model string")
     if stored is None:
         props.write.mode("overwrite").parquet(props_path)
@@ -142,7 +150,9 @@ def ensure_dimension(spark, props_path: str, dimension: int, model: str, allow_r
         return "ok"
     if not allow_reset:
         raise CollectionDimensionError(f"collection has dimension {stored.dimension}, embedder gives {dimension}")
-    if collection_path:
-        spark.createDataFrame([], "id string").write.mode("overwrite").parquet(collection_path)
+    old = read_if_there(spark, collection_path) if collection_path else None
+    if old is not None:
+        # the empty collection keeps every column, so later appends read back whole
+        spark.createDataFrame([], old.schema).write.mode("overwrite").parquet(collection_path)
     props.write.mode("overwrite").parquet(props_path)
     return "reset"

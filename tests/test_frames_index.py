@@ -92,3 +92,16 @@ def test_dimension_guard(spark, tmpdir_path):
         index.ensure_dimension(spark, props, 32, "other")
     assert index.ensure_dimension(spark, props, 32, "other", allow_reset=True,
                                   collection_path=f"{tmpdir_path}/c") == "reset"
+
+
+def test_reset_keeps_the_columns(spark, tmpdir_path):
+    from corpusflow.operators import index
+
+    props, coll = f"{tmpdir_path}/props", f"{tmpdir_path}/coll"
+    index.ensure_dimension(spark, props, 2, "m")
+    rows = spark.createDataFrame([("a", [1.0, 2.0], "x")], "id string, embedding array<double>, document string")
+    index.add_to_collection(rows, coll)
+    assert index.ensure_dimension(spark, props, 3, "n", allow_reset=True, collection_path=coll) == "reset"
+    index.add_to_collection(rows, coll)
+    back = spark.read.parquet(coll)
+    assert set(back.columns) == {"id", "embedding", "document"} and back.count() == 1
