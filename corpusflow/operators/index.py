@@ -104,12 +104,11 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id",
 
 
 def write_collection(rows: DataFrame, path: str, settings: Settings = DEFAULT, mode: str = "append") -> int:
-    """B1: append rows in files of at most ``write_batch_size`` rows; return rows written."""
+    """B1: append rows; return rows written. Files follow the partitions; the batch number (E1) stays a column."""
     from pyspark.sql import Observation
 
     obs = Observation("collection_write")
-    rows.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).option(
-        "maxRecordsPerFile", settings.write_batch_size).parquet(path)
+    rows.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
     return int(obs.get.get("n", 0))
 
 

@@ -122,12 +122,10 @@ def _plan_udf(centroids: np.ndarray, counts: np.ndarray, exact: bool, n_probe: i
         p1 = []
         for i, k in enumerate(ks):
             o = order[i][counts[order[i]] > 0]
-            if exact:
-                cum = np.cumsum(counts[o])
-                take = int(np.searchsorted(cum, max(int(k), 1))) + 1  # first prefix holding >= k
-                p1.append(o[:take].tolist())
-            else:
-                p1.append(o[:max(1, n_probe)].tolist())
+            cum = np.cumsum(counts[o])
+            take = int(np.searchsorted(cum, max(int(k), 1))) + 1  # first prefix holding >= k
+            # approximate: n_probe cells at least, and more where those hold fewer than k rows
+            p1.append(o[:take if exact else max(take, n_probe, 1)].tolist())
         return pd.DataFrame({"cd": D.tolist(), "p1": p1})
 
     return plan

@@ -44,6 +44,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if fallback is None and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if fallback is None:
             import tempfile
             fallback = tempfile.mkdtemp(prefix="corpusflow-ckpt-", dir="/tmp")
@@ -53,7 +56,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         pass
-    os.environ.setdefault("CORPUSFLOW_CKPT", d)
     return d
 
 
