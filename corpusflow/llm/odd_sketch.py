@@ -43,7 +43,7 @@ BITS = 2048
 #: Estimates below this are taken for misses; 4.6 standard deviations below 0.8.
 LIKELY = 0.72
 #: Members of a bucket compared in one block with those of another.
-BLOCK = 128
+BLOCK = 256
 _A = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -135,25 +135,23 @@ def _block_pairs(limit: int, forest: bool, percent: int):
     """Likely pairs of a block whose members have different labels; a spanning forest of them, or all."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["key", "lo", "hi"]
+        keys = ["key", "i", "j"]
         for pdf in whole_groups(frames, keys):
             bounds = group_bounds(pdf, keys)
-            ids, labels, parts, sizes = (pdf[c].to_numpy() for c in ("id", "label", "part", "n_shingles"))
-            places, every = pdf["band"].to_numpy(), np.array(pdf["bands"].tolist(), dtype=np.int64)
+            ids, labels, sides, others, sizes, places = (pdf[c].to_numpy() for c in ("id", "label", "side", "other", "n_shingles", "band"))
+            every = np.array(pdf["bands"].tolist(), dtype=np.int64)
             sketches = np.array(pdf["sketch"].tolist(), dtype=np.int64).view(np.uint64)
-            lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
             found = []
             for s, e in zip(bounds[:-1], bounds[1:]):
-                left = np.arange(s, e)[parts[s:e] == lo[s]]
-                right = left if lo[s] == hi[s] else np.arange(s, e)[parts[s:e] == hi[s]]
+                left, right = s + np.flatnonzero(sides[s:e] == 0), s + np.flatnonzero(sides[s:e] == 1)
                 if not len(left) or not len(right):
                     continue
                 far = np.bitwise_count(sketches[left][:, None] ^ sketches[right][None]).sum(axis=2, dtype=np.int32)
                 near = (far <= limit) & (labels[left][:, None] != labels[right][None])
                 n, m = sizes[left][:, None], sizes[right][None]
                 near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                if lo[s] == hi[s]:
-                    near &= ids[left][:, None] < ids[right][None]
+                # two members outside the largest component meet twice
+                near &= ~others[right][None] | (ids[left][:, None] < ids[right][None])
                 i, j = np.nonzero(near)
                 # a pair that shares several buckets is examined in the first of them
                 first = (every[left[i]] == every[right[j]]).argmax(axis=1) == places[s]
@@ -181,15 +179,25 @@ def _block_pairs(limit: int, forest: bool, percent: int):
 
 
 def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, limit: int, forest: bool, percent: int) -> DataFrame:
-    """Likely pairs ``a, b`` in the buckets whose members lie in several components."""
+    """Likely pairs ``a, b`` in the buckets whose members lie in several components.
+
+    Only the members outside a bucket's largest component (``other``) look for
+    partners among all its members, in blocks of ``BLOCK`` by ``BLOCK``.
+    """
     m = members.join(labels, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
     m = stored(m, "labelled")
-    open_ = m.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).where("l <> h")
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    rows = m.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    rows = rows.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "band", "id", "label", "n_shingles", "sketch", "bands")
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    open_ = m.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("main.n < n").select(
+        "key", F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("parts"),
+        F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("other_parts"))
+    rows = m.join(open_, "key").join(sketches, "id").withColumn("other", F.col("label") != F.col("main"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    blocks = F.transform(upto("other_parts"), lambda i: F.struct(i.alias("i"), part("parts").alias("j"), F.lit(1).alias("side")))
+    asks = F.transform(upto("parts"), lambda j: F.struct(part("other_parts").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("other"), F.concat(blocks, asks)).otherwise(blocks))).select(
+        "key", "at.*", "band", "id", "label", "other", "n_shingles", "sketch", "bands")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return dealt.mapInPandas(_block_pairs(limit, forest, percent), "a long, b long").distinct()
 
 
@@ -216,11 +224,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     tested, labels = stars, stored(components(links), "labels")
     members = members.select("key", "band", "id")
     for forest in (True, False):
-        more = stored(_across(members, labels, sketches, limit, forest, percent).join(tested, ["a", "b"], "left_anti"), "likely")
+        found = stored(_across(members, labels, sketches, limit, forest, percent), "likely")
+        more = stored(found.join(tested, ["a", "b"], "left_anti"), "untested")
+        if forest:
+            # a component without a likely link to another one in any bucket has none in the next round either
+            ends = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+            ends = ends.join(labels, "id", "left").select(F.coalesce("component", "id").alias("end")).distinct()
+            label = F.coalesce("component", "id")
+            members = members.join(labels, "id", "left").withColumn("label", label).join(
+                ends, F.col("label") == F.col("end"), "left_semi").select("key", "band", "id")
+            members = stored(members, "members")
         if more.isEmpty():
-            if forest:
-                continue
-            break
+            continue
         linked = stored(confirm(more, texts, size, percent).distinct(), "links")
         tested = tested.union(more)
         if not linked.isEmpty():
