@@ -26,6 +26,8 @@ STOP_WORDS = tuple(
     "le la les et de un une du des en que qui dans pour par sur pas au avec ce il est sont ne "
     "el los las y del que una por con para se su al lo como más pero sus este ha".split()
 )
+#: Their spellings in lower case, with a capital, and in capitals.
+CAPITALS = tuple(sorted({v for w in STOP_WORDS for v in (w, w.capitalize(), w.upper())}))
 SYMBOLS = "#*$%&|<>"
 
 
@@ -94,14 +96,13 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumn("_packed", F.when(
         F.size(F.array_distinct("_h")) < F.size("_h"),
         F.sort_array(F.transform("_h", lambda h, i: h - F.pmod(h, F.col("_m")) + i))))
-    capitals = {v for w in STOP_WORDS for v in (w, w.capitalize(), w.upper())}
     base = base.withColumns({
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
         "n_symbols": (F.length("_t") - F.length(_without(F.col("_t"), SYMBOLS))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("_packed").isNull(), 0).otherwise(_repeat_words()).cast("long"),
-        "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(*sorted(capitals)))).cast("long"),
+        "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(*CAPITALS))).cast("long"),
     })
 
     def ratio(a: str, b: str) -> Column:
@@ -158,3 +159,30 @@ def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return apply_rules(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_rule(r: Rule) -> str:
+    parts = [f"{r.measure} >= {r.low}"] * (r.low != float("-inf")) + [f"{r.measure} <= {r.high}"] * (r.high != float("inf"))
+    return " and ".join(parts) or "true"
+
+
+ORACLE = f"""
+with w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from w, unnest(range(1, len(w) - 1)) u(i)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+p as (select doc_id, count(distinct i + o) as n from r, (values (0), (1), (2)) v(o) group by doc_id),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(p.n, 0)::bigint as n_repeat_words, len(l) as n_lines,
+        len(list_filter(w, lambda x: x in ({", ".join(f"'{w}'" for w in CAPITALS)}))) as n_stop_words
+      from w left join p using (doc_id)),
+a as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        case when n_words > 0 then word_chars / n_words else 0.0 end as mean_word_chars,
+        case when word_chars > 0 then n_symbols / word_chars else 0.0 end as symbol_ratio,
+        case when n_words > 0 then n_stop_words / n_words else 0.0 end as stop_word_ratio,
+        case when n_lines > 0 then n_dup_lines / n_lines else 0.0 end as dup_line_ratio,
+        case when n_words > 0 then n_repeat_words / n_words else 0.0 end as repeat_word_ratio from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and {" and ".join(_sql_rule(r) for r in RULES)} as kept from a
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_bit_sliced": bit_sliced.ORACLE,
     "op3_odd_sketch": odd_sketch.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
     "op8_source_mix": mix_tree.ORACLE,
 }
