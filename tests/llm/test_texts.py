@@ -70,6 +70,26 @@ def test_passages_of_odd_rows(spark, odd):
     assert spans[2] == [(0, 70)] and spans[1] == [(90, 160)]
 
 
+def _one_word_replaced(rng, n, k):
+    """Two texts of unrelated words around a passage of ``n`` words whose word ``k`` differs."""
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    p = word(n)
+    return [" ".join(word(60) + x + word(60)) for x in (p, [*p[:k], "changed", *p[k + 1:]])]
+
+
+def test_one_replaced_word_at_every_position(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (50, 52, 60, 75, 95, 100):
+        for k in range(1, n - 1):  # without its first or last word a passage is a shorter one
+            rows += [(len(rows) + x, t) for x, t in enumerate(_one_word_replaced(rng, n, k))]
+    links = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["a"], r["b"]) for r in links}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
+    assert len(got) >= 0.99 * len(rows) / 2
+    assert all(s["similarity"] >= 0.8 and s["a_to"] - s["a_from"] >= 50 for r in links for s in r["spans"])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
