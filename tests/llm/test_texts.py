@@ -90,6 +90,21 @@ def test_one_replaced_word_at_every_position(spark):
     assert all(s["similarity"] >= 0.8 and s["a_to"] - s["a_from"] >= 50 for r in links for s in r["spans"])
 
 
+def test_shared_keys_hide_no_exact_passage(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, places = [], {}
+    for k in range(0, 300, 3):
+        p, q = word(60), word(52)
+        texts = [[*word(30), *p, *word(30), *q[3:48], *word(30)], [*word(20), *p, *word(40), *q, *word(9), *q], [*word(50), *q, *word(20)]]
+        rows += [(k + i, " ".join(t)) for i, t in enumerate(texts)]
+        places |= {k: [(30, 90)], k + 1: [(20, 80), (120, 172), (181, 233)], k + 2: [(50, 102)]}
+    links = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in compact_windows.by_document(links).collect()}
+    assert {i: [tuple(s) for s in r["spans"]] for i, r in got.items()} == places
+    assert all(r["class_id"] == i // 3 * 3 and r["n_links"] == (2 if i % 3 == 1 else 1) for i, r in got.items())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
