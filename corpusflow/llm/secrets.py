@@ -5,7 +5,10 @@ then looks at every value in a credential context (``pwd: ...``, ``login =
 ...``), segments it at minimum guess cost into dictionary words, dates, repeats,
 keyboard walks, sequences and brute-force runs, and reports values that would
 take an attacker more than ``min_log10_guesses`` guesses. Placeholders such as
-``pwd: changeme123`` cost little and stay out.
+``pwd: changeme123`` cost little and stay out. The dictionary is common password
+parts, then the words and word parts of the public tokenizer by rank, so that
+prose after such a name costs little too. Values of under six characters are not
+looked at: they can't cost that much.
 
 One map over the scan, no shuffle; each document is scanned whole, and a lost
 task is read again. Defined results: a null text counts as empty, has no span
@@ -17,9 +20,11 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import pairwise
 
 import pandas as pd
@@ -37,7 +42,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A name that announces a credential, a separator, and the value after it.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|auth|encryption|signing)[_-]?key"""
-    r"""|credentials?|bearer|login|auth|pin)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}["']?([^\s"'`<>,;()]+)""",
+    r"""|credentials?|authorization|bearer|login|auth|pin)["']?\x20{0,4}(?::=|=>|[:=])\x20{0,4}["']?(?:(?:bearer|basic|token|digest)\x20{1,4})?([^\s"'`<>,;()]+)""",
     re.IGNORECASE | re.ASCII)
 
 #: Common password parts by rank.
@@ -63,11 +68,27 @@ def _walks() -> set[str]:
 
 WALKS = _walks()
 RANK = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, RANK))
+#: Word parts of the tokenizer shorter than this are cheaper to guess by brute force.
+SHORTEST = 3
 #: Choosing where to cut: every segment multiplies the guesses by two.
 CUT = math.log10(2)
 
 
+@lru_cache(maxsize=1)
+def dictionary() -> tuple[dict[str, float], int]:
+    """Word to log10 of its rank, and the longest word's length; read once per worker process."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    ranks = dict(RANK)
+    for token in sorted(vocab, key=vocab.get):
+        word = token.removeprefix("Ġ").lower()
+        if len(word) >= SHORTEST and word.isascii() and word.isalpha() and word not in ranks:
+            ranks[word] = math.log10(len(ranks) + 2)
+    return ranks, max(map(len, ranks))
+
+
 def _char_cost(c: str) -> float:
     return 1.0 if "0" <= c <= "9" else math.log10(26) if c.isalpha() else math.log10(33)
 
@@ -83,12 +104,15 @@ def _runs(value: str, same) -> list[tuple[int, int]]:
     return out
 
 
-def guess_cost(value: str, ranks: dict[str, float] = RANK, longest: int = LONGEST) -> float:
+def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
     Time and memory grow linearly with the value: a word has ``longest``
     characters at most, and the other kinds of segment are maximal runs.
     """
+    if ranks is None:
+        ranks, longest = dictionary()
+    longest = longest or max(map(len, ranks))
     low = value.lower()
     n = min(len(value), len(low))
     plain = low.translate(LEET)
@@ -123,12 +147,6 @@ def guess_cost(value: str, ranks: dict[str, float] = RANK, longest: int = LONGES
     return best[n]
 
 
-def _classes(value: str) -> int:
-    """How many of lower-case, upper-case, digit and other characters occur."""
-    tests = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
-    return sum(any(t(c) for c in value) for t in tests)
-
-
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns' whole matches."""
     out = []
@@ -147,7 +165,7 @@ def guess_spans(text: str, base: Sequence[tuple[int, int, str]], min_log10_guess
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < 6 or _classes(value) < 2 or any(x <= a and b <= y for x, y, _ in base):
+        if len(value) < 6 or any(x <= a and b <= y for x, y, _ in base):
             continue
         if guess_cost(value) >= min_log10_guesses:
             out.append((a, b, "guess"))

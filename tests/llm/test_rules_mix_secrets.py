@@ -139,3 +139,13 @@ def test_values_in_context_are_added_and_redacted(spark):
     docs = spark.createDataFrame([(1, text, 7), (2, None, 8)], "doc_id long, text string, extra int")
     out = secrets.redact(docs, "#").orderBy("doc_id").collect()
     assert out[0]["text"] == "pwd: # then login = changeme12 and #" and out[1]["text"] is None and out[0]["extra"] == 7
+
+
+def test_values_of_one_class_and_after_a_scheme_are_found():
+    guessed = lambda t: [t[a:b] for a, b, k in secrets.find(t)[1] if k == "guess"]
+    for name in ("pwd: ", "passphrase: ", "login = "):
+        assert guessed(f"x {name}qzvkxjwpltmrhgbn.") == ["qzvkxjwpltmrhgbn"]
+    assert guessed("pin: 4839571846") == ["4839571846"]
+    assert guessed("Authorization: Bearer q7Zt-x2Lw9vKd4") == guessed("auth: Basic q7Zt-x2Lw9vKd4") == ["q7Zt-x2Lw9vKd4"]
+    for prose in ("login: information", "pin: placement", "auth: required for everybody", "secret = unbelievable", "login: Government"):
+        assert guessed(prose) == [], prose
