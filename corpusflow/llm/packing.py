@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -108,6 +109,46 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class _Rooms:
+    """Open sequences in a heap by cost for each remaining room, and a tree of the cheapest over ranges of room."""
+
+    def __init__(self, size: int):
+        self.half = 1 << size.bit_length()
+        self.heaps = [[] for _ in range(self.half)]
+        self.tree = [(math.inf, -1, -1)] * (2 * self.half)  # cost, sequence, room
+
+    def _update(self, room: int) -> None:
+        heap, k = self.heaps[room], self.half + room
+        self.tree[k] = (*heap[0], room) if heap else (math.inf, -1, -1)
+        while k > 1:
+            k //= 2
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._update(room)
+
+    def take(self, room: int) -> int:
+        _, sequence = heapq.heappop(self.heaps[room])
+        self._update(room)
+        return sequence
+
+    def cheapest(self, least: int) -> int | None:
+        """Take the cheapest sequence with ``least`` room or more."""
+        k, best = self.half + least, self.tree[self.half + least]
+        while k > 1:
+            if k % 2 == 0:
+                best = min(best, self.tree[k + 1])
+            k //= 2
+        return self.take(best[2]) if best[1] >= 0 else None
+
+    def roomiest(self) -> int:
+        k = 1
+        while k < self.half:
+            k = 2 * k + (self.tree[2 * k + 1][1] >= 0)
+        return k - self.half
+
+
 def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; each id in exactly one.
 
@@ -132,40 +173,24 @@ def pack(lengths: list[int], size: int, linear: float = 1.0, quadratic: float =
         room[-1] = total % size  # exactly enough room altogether, so every sequence ends full
     price = lambda n: linear * n + quadratic * n * n
     used = [0] * count
-    heap = [(0.0, s) for s in range(count)]  # lowest cost first; full sequences leave
+    lots = _Rooms(size)
+    for s in range(count):
+        lots.put(room[s], 0.0, s)
     for n, d, start in rest:
-        passed, placed = [], None
-        while heap:
-            c, s = heapq.heappop(heap)
-            if room[s] - used[s] >= n:
-                placed = s
-                break
-            passed.append((c, s))
-            if len(passed) >= 64:
-                break
-        parts = [(placed, n)] if placed is not None else []
-        if placed is None:  # cut over the passed sequences with most room, then over the rest
-            left = n
-            for c, s in sorted(passed, key=lambda x: (used[x[1]] - room[x[1]], x[1])):
-                if left:
-                    take = min(left, room[s] - used[s])
-                    parts.append((s, take))
-                    left -= take
-            passed = [x for x in passed if x[1] not in {s for s, _ in parts}]
-            while left:
-                c, s = heapq.heappop(heap)
-                take = min(left, room[s] - used[s])
-                parts.append((s, take))
-                left -= take
+        s = lots.cheapest(n)
+        parts, left = [(s, n)] if s is not None else [], n
+        while s is None and left:  # cut over the sequences with most room
+            r = lots.roomiest()
+            t = lots.take(r)
+            parts.append((t, min(left, r)))
+            left -= parts[-1][1]
         for s, take in parts:
             pieces.append((d, start, take, sequence + s, used[s]))
             start += take
             used[s] += take
             cost[s] += price(take)
             if used[s] < room[s]:
-                heapq.heappush(heap, (cost[s], s))
-        for x in passed:
-            heapq.heappush(heap, x)
+                lots.put(room[s] - used[s], cost[s], s)
     if total % size:
         pieces = _powers_of_two(pieces, sequence + count - 1, total % size)
     return pieces

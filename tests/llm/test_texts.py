@@ -222,6 +222,22 @@ def test_costs_are_balanced():
     assert max(cost.values()) < 1.2 * min(cost.values())
 
 
+def test_a_piece_is_cut_only_where_no_sequence_has_room():
+    lengths = [1500] * 100 + [500] * 360 + [400] * 60
+    lengths.append(-sum(lengths) % 2048)
+    used, cost = [0] * (sum(lengths) // 2048), [0.0] * (sum(lengths) // 2048)
+    parts = {}
+    for d, _, n, s, _ in packing.pack(lengths, 2048):
+        parts.setdefault(d, []).append((s, n))
+    for d in sorted(parts, key=lambda d: (-lengths[d], d)):
+        fits = [(cost[s], s) for s in range(len(used)) if 2048 - used[s] >= lengths[d]]
+        assert parts[d] == [(min(fits)[1], lengths[d])] if fits else len(parts[d]) > 1
+        for s, n in parts[d]:
+            used[s] += n
+            cost[s] += n + n * n / 2048
+    assert set(used) == {2048}
+
+
 def test_language_model(spark, odd, none):
     docs = brute.read(SMALL, "documents").set_index("doc_id")["text"]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs.index}
