@@ -7,7 +7,9 @@ over the output shards splits the sources' exact block counts: at each node
 the left half draws its blocks without replacement from the node's blocks, so
 the sources' shares in every shard are multivariate hypergeometric and the
 counts add up exactly. Each shard then owns a range of permuted block slots of
-every source, disjoint from the other shards', and is shuffled locally.
+every source, disjoint from the other shards', and is shuffled locally. ``mixed``
+keeps a document's copy whole: it goes to the shard that its first taken word is
+drawn for, and the rest of its words with it.
 
 Rows are dealt over (source, hash bucket), never over the source alone, so a
 source with a third of all rows is spread over ``BUCKETS`` tasks. What is
@@ -168,8 +170,11 @@ def plan(rows: DataFrame, again: DataFrame | None = None, shards: int = 16, bloc
             "_at", "_before", "_take", "_block", "blocks", "ends")
 
 
-def mixed(docs: DataFrame, shards: int = 16, seed: str = "mix") -> DataFrame:
-    """The mix as documents with the columns of ``docs``, shuffled inside each task.
+def mixed(docs: DataFrame, shards: int = 16, seed: str = "mix", shard: str | None = None) -> DataFrame:
+    """The mix as documents with the columns of ``docs``, shard after shard, shuffled inside each.
+
+    A shard is a run of partitions, cut by the seeded order, so none depends on
+    the sources' sizes. ``shard`` names a column to add with the shard's number.
 
     A document comes once per pass that takes words of it, with its text as it
     is; where a target ends inside a document, that copy has the taken words
@@ -184,17 +189,18 @@ def mixed(docs: DataFrame, shards: int = 16, seed: str = "mix") -> DataFrame:
     taken = F.aggregate(F.filter("spans", lambda x: x["pass"] == F.col("_pass")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     text = F.when(taken >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), taken.cast("int")), " "))
-    copies = copies.withColumn("_text", text).withColumn("_order", F.xxhash64(F.lit(seed), "_key", "_pass"))
+    copies = copies.withColumn("_text", text).withColumn("_order", F.xxhash64(F.lit(seed), "_key", "_pass")).withColumn(
+        "_shard", F.filter("spans", lambda x: x["pass"] == F.col("_pass"))[0]["shard"])
     fields = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
               else F.col("_row").getField(c).alias(c) for c in cols]
-    return copies.sortWithinPartitions("_order").select(*fields)
+    out = copies.select(F.struct(*fields).alias("_out"), "_shard", "_order").repartitionByRange("_shard", "_order")
+    return out.sortWithinPartitions("_shard", "_order").select("_out.*", *([F.col("_shard").alias(shard)] if shard else []))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     docs = sized(load(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size", "_key", "_bucket")
-    shards = 16
-    out = plan(stored(docs, "mix-sizes"), shards=shards)
-    taken = F.aggregate(F.filter("spans", lambda x: x["shard"] < shards), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    out = plan(stored(docs, "mix-sizes"))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 

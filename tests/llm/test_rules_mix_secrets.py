@@ -103,6 +103,19 @@ def test_mix_on_odd_rows(odd, none):
     assert sum(s["n"] for r in narrow for s in r["spans"]) == sum(w[2] for w in want)
 
 
+def test_mix_comes_by_the_drawn_shards(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = mix_tree.mixed(docs, shards=4, shard="shard").collect()
+    plan = {r["doc_id"]: r["spans"] for r in mix_tree.plan(mix_tree.sized(docs), shards=4).select("doc_id", "spans").collect()}
+    want = sorted((i, next(s["shard"] for s in x if s["pass"] == p)) for i, x in plan.items() for p in {s["pass"] for s in x})
+    assert sorted((r["doc_id"], r["shard"]) for r in out) == want
+    shards = [r["shard"] for r in out]
+    assert shards == sorted(shards) and set(shards) == {0, 1, 2, 3}
+    for k in range(4):
+        sources = [r["source"] for r in out if r["shard"] == k]
+        assert sources != sorted(sources)  # shuffled, not source after source
+
+
 def test_secrets_match_brute_force(spark, odd, none):
     docs = brute.read(SMALL, "documents").set_index("doc_id")["text"]
     got = secrets.op10_secret_scan(spark, SMALL).toPandas()
