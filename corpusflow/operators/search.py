@@ -331,6 +331,36 @@ def search(index: IvfIndex, queries: DataFrame, k: int | Column = 10, query_id:
     return _top_k(cand1.unionByName(cand2), k_lit).select(*out_cols)
 
 
+def probes_for(index: IvfIndex, queries: DataFrame, k: int, recall: float = 0.9, query_id: str = "query_id",
+               query_vec: str = "embedding", sample: int = 500, seed: int = 23) -> int:
+    """Cells to probe for ``recall`` against the exact search, measured on ``sample`` queries.
+
+    The sample's exact neighbours are found, and the place of each one's cell in
+    its query's order of cells; the fewest cells that hold the wanted share are
+    taken. The sampling error of three standard deviations (queries as the unit) is added to the share.
+    """
+    if index.size == 0 or len(index.counts) < 2:
+        return 1
+    some = materialize(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding")).orderBy(
+        F.xxhash64(F.col(query_id), F.lit(seed)), F.col(query_id)).limit(sample))
+    hits = search(index, some, k).select("query_id", "id")
+    C = index.centroids.shape[0]
+    counts = np.array([index.counts.get(c, 0) for c in range(C)], dtype=np.int64)
+    order = some.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec")).select(
+        "query_id", _plan_udf(index.centroids, counts, False, C)(F.col("vec"), F.lit(1)).alias("pl")).select("query_id", F.col("pl.p1").alias("cells"))
+    found = hits.join(index.rows.select("id", "vec"), "id").withColumn("cell", _assign_udf(index.centroids)(F.col("vec"))["cell"])
+    place = F.array_position("cells", F.col("cell"))
+    # sample x k numbers at most come to the driver
+    per = found.join(order, "query_id").groupBy("query_id").agg(F.collect_list(place).alias("p")).collect()
+    if not per:
+        return 1
+    for n in range(1, C + 1):
+        share = np.array([np.mean(np.asarray(r.p) <= n) for r in per])
+        if share.mean() - 3 * share.std() / math.sqrt(len(share)) >= recall:
+            return n
+    return C
+
+
 def knn(queries: DataFrame, collection: DataFrame, k: int | Column = 10, *, query_id: str = "query_id",
         query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
         settings: Settings = DEFAULT, exact: bool = True) -> DataFrame:

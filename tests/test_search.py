@@ -128,3 +128,13 @@ def test_approx_recall_grows_with_probes(spark):
         got = {(r.query_id, r.id) for r in search.search(idx, q, 10, exact=False, n_probe=p).collect()}
         recalls.append(len(got & exact) / len(exact))
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_registered_approx_recall(spark, size):
+    from corpusflow.plans import retrieval
+
+    base = f"/root/testdata/{size}"
+    exact = {(r.query_id, r.vec_id) for r in retrieval.knn_batch(spark, base).select("query_id", "vec_id").collect()}
+    got = {(r.query_id, r.vec_id) for r in retrieval.knn_approx(spark, base).select("query_id", "vec_id").collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
