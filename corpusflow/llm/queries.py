@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import bit_sliced, compact_windows, context_mixing, mix_tree, odd_sketch, packing, periodic_runs, prefix_trie, quality_model, quality_rules, secrets, toxicity
+from corpusflow.llm import bit_sliced, compact_windows, context_mixing, mix_tree, ngram_join, odd_sketch, packing, periodic_runs, prefix_trie, quality_model, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op1_compact_windows": compact_windows.op1_compact_windows,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mix_tree.op8_source_mix,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op3_odd_sketch": odd_sketch.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op8_source_mix": mix_tree.ORACLE,
+    "op11_ngram_join": ngram_join.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
 }
