@@ -46,6 +46,8 @@ from corpusflow.config import DEFAULT, Settings
 from corpusflow.session import materialize, ship_package
 
 _EPS = 1e-9
+#: Bytes of a hit row in memory, with room for long ids.
+_HIT_BYTES = 512
 
 
 class DimensionMismatch(ValueError):
@@ -205,8 +207,16 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
 
 
 def attach(index: IvfIndex, hits: DataFrame, cols: list[str]) -> DataFrame:
-    """Payload columns of the hit rows (the hits side is small: queries x k)."""
-    return hits.join(index.rows.select("id", *cols), "id")
+    """Payload columns of the hit rows.
+
+    The hits (queries x k rows) are computed once and counted: as long as they
+    fit ``broadcast_max_bytes`` they go to the collection's rows, which then
+    are scanned in place and not shuffled.
+    """
+    hits = materialize(hits)
+    rows = index.rows.select("id", *cols)
+    small = hits.count() * _HIT_BYTES <= index.settings.broadcast_max_bytes
+    return rows.join(F.broadcast(hits), "id") if small else hits.join(rows, "id")
 
 
 def _score_fn():

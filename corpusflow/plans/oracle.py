@@ -458,6 +458,9 @@ SELECT filename || '_' || chunk_index AS id, filename AS source, chunk_index, ch
 FROM doc_chunks"""
 
 ORACLES["stream_search"] = ORACLES["text_search"]
+ORACLES["collection_appends"] = ORACLES["text_search"]
+ORACLES["text_search_va"] = ORACLES["text_search"]
+ORACLES["knn_va"] = ORACLES["knn_batch"]
 
 ORACLES["docx_extract"] = "SELECT doc_id, length(text)::INTEGER AS n_chars, true AS same FROM documents"
 

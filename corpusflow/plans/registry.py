@@ -18,13 +18,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_rows": retrieval.index_rows,
     "index_batches": retrieval.index_batches,
     "text_search": retrieval.text_search,
+    "text_search_va": retrieval.text_search_va,
+    "collection_appends": retrieval.collection_appends,
     "search_json": retrieval.search_json,
     "chat_retrieval": retrieval.chat_retrieval,
     "knn_batch": retrieval.knn_batch,
+    "knn_va": retrieval.knn_va,
     "knn_single": retrieval.knn_single,
     "knn_per_row_k": retrieval.knn_per_row_k,
     "knn_nested": retrieval.knn_nested,
     "knn_approx": retrieval.knn_approx,
+    "knn_quantised": retrieval.knn_quantised,
     "recent_queries": conversation.recent_queries,
     "recent_conversations": conversation.recent_conversations,
     "conversation_memory": conversation.conversation_memory,

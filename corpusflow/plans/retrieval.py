@@ -6,14 +6,18 @@ tables under ``base``. Column names match the SQL oracle in ``plans.oracle``.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import DEFAULT
 from corpusflow.functions.partitions import spread
 from corpusflow.functions.text import clamp, default
-from corpusflow.operators import chunking, embedding, index, search
+from corpusflow.operators import chunking, collection, embedding, index, quantised, search, vafile
 from corpusflow.session import checkpoint_dir, ship_package
+from corpusflow.sources import storage
 from corpusflow.sources.tables import read_table
 
 EMB = embedding.HashEmbedder(DEFAULT.embed_dim)
@@ -101,9 +105,23 @@ def index_batches(spark, base):
     return index.index_batches(collection_rows(spark, base, batch_size=7))
 
 
+def stored_collection(spark, base) -> str:
+    """Folder of the stored chunk collection of ``base``: built by the first query of the application, opened by the others.
+
+    The folder's name follows the files of ``documents``, so a rewritten table has a new collection.
+    """
+    _prep(spark)
+    files = storage.fingerprint(spark, f"{base}/documents.parquet")
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId}|{base}|{files}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/collection-{name}"
+    v = collection.create(spark, path, DEFAULT.embed_dim, "hash")
+    if not v.size:
+        collection.append(spark, path, collection_rows(spark, base))
+    return path
+
+
 def _text_index(spark, base):
-    rows = collection_rows(spark, base)
-    return search.build_index(rows, "id", "embedding")
+    return collection.open_index(spark, stored_collection(spark, base))
 
 
 def text_search(spark, base):
@@ -116,9 +134,35 @@ def text_search(spark, base):
     return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+def text_search_va(spark, base):
+    """F2 through the vector-approximation file: the same hits, one byte a component scanned."""
+    va = vafile.build(collection.read(spark, stored_collection(spark, base)).select("id", "embedding"))
+    q = read_table(spark, base, "benchmark").select(
+        F.col("item_id").alias("query_id"), embedding.embed_column(F.col("text"), EMB).alias("embedding"),
+        clamp(default(F.lit(None).cast("int"), DEFAULT.default_n_results), DEFAULT.k_min, DEFAULT.k_max).alias("k"))
+    hits = vafile.search(va, q, F.col("k"))
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+def collection_appends(spark, base):
+    """The chunks come in three appends, the last all of them again; then the search of ``text_search``."""
+    _prep(spark)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/appends-{uuid.uuid4().hex}"
+    collection.create(spark, path, DEFAULT.embed_dim, "hash")
+    rows = collection.read(spark, stored_collection(spark, base))
+    first = F.xxhash64("metadata.source") % 3 == 0
+    for part in (rows.where(first), rows.where(~first), rows):
+        collection.append(spark, path, part)
+    q = read_table(spark, base, "benchmark").select(
+        F.col("item_id").alias("query_id"), embedding.embed_column(F.col("text"), EMB).alias("embedding"),
+        clamp(default(F.lit(None).cast("int"), DEFAULT.default_n_results), DEFAULT.k_min, DEFAULT.k_max).alias("k"))
+    hits = search.search(collection.open_index(spark, path), q, F.col("k"))
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 def chat_hits(spark, base, k: int = DEFAULT.default_n_results) -> DataFrame:
     """first chunk of each query, k not clamped (default 5); hits carry their text."""
-    idx = search.build_index(collection_rows(spark, base), "id", "embedding", payload=["document"])
+    idx = _text_index(spark, base)
     q = read_table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     q = embedding.embed_first_chunk(q, "text", "embedding", EMB, DEFAULT.chunk_width)
     return search.attach(idx, search.search(idx, q, k), ["document"])
@@ -146,6 +190,23 @@ def knn_batch(spark, base):
     return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+def knn_va(spark, base):
+    """F4 through the vector-approximation file: every vector against the whole collection, k = 10."""
+    e = _emb(spark, base)
+    va = vafile.build(e, "vec_id", "embedding")
+    hits = vafile.search(va, e.withColumnRenamed("vec_id", "query_id"), 10)
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+def knn_quantised(spark, base):
+    """F5 on the two-level quantised index, tuned for a recall of 0.9 on a sample of its rows."""
+    e = _emb(spark, base)
+    va = vafile.build(e, "vec_id", "embedding")
+    idx = quantised.tune(quantised.build(e, "vec_id", "embedding"), lambda q, k: vafile.search(va, q, k))
+    hits = quantised.search(idx, e.withColumnRenamed("vec_id", "query_id"), 10)
+    return hits.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 def _mean_vector(e: DataFrame) -> DataFrame:
     """One-row DataFrame holding the mean vector of the collection (distributed)."""
     per_dim = e.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(

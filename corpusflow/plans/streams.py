@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from corpusflow.config import DEFAULT
 from corpusflow.functions.partitions import spread
-from corpusflow.operators import search
 from corpusflow.plans import retrieval
 from corpusflow.plans.retrieval import _prep
 from corpusflow.sources import extract as X
@@ -43,7 +42,7 @@ def stream_search(spark, base):
     """L3: benchmark texts arrive as a stream and are searched against the static chunk index."""
     _prep(spark)
     root = L.stream_root(spark, "search")
-    idx = search.build_index(retrieval.collection_rows(spark, base), "id", "embedding")
+    idx = retrieval._text_index(spark, base)
     req = _table_stream(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     q = L.start_search(req, idx, os.path.join(root, "hits"), os.path.join(root, "checkpoint"),
                        k=max(min(DEFAULT.default_n_results, DEFAULT.k_max), DEFAULT.k_min))

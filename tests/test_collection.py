@@ -1,0 +1,128 @@
+"""Stored keys and the stored collection: appends, splits, versions, failures between steps."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusflow.config import DEFAULT
+from corpusflow.operators import collection, index, keys, search
+from corpusflow.sources import storage
+
+TINY = DEFAULT.with_(block_rows=20, max_cells=64)
+
+
+def rows(spark, ids, vecs):
+    return spark.createDataFrame([(f"d{i}", f"text {i}", [float(x) for x in v], i % 3) for i, v in zip(ids, vecs)],
+                                 "id string, document string, embedding array<double>, cell long").withColumnRenamed("cell", "batch")
+
+
+def hits(idx, q, k=7):
+    return sorted((r.query_id, r["rank"], r.id, r.distance) for r in search.search(idx, q, k).collect())
+
+
+def asked(spark, vecs):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "query_id long, embedding array<double>")
+
+
+def test_bloom_has_no_false_negative():
+    rng = np.random.default_rng(1)
+    h = rng.integers(-2**63, 2**63 - 1, 5000)
+    bits = keys.bloom(h)
+    assert keys.perhaps(bits, h).all()
+    assert keys.perhaps(bits, rng.integers(-2**63, 2**63 - 1, 20_000)).mean() < 0.02
+    assert keys.perhaps(keys.bloom(h[:0]), h).sum() == 0
+
+
+def test_absent_reads_few_keys_however_many_are_stored(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(keys, "KEYS_PER_BUCKET", 64)
+    segments, read = [], []
+    new = spark.range(1_000_000, 1_000_040).select(F.col("id").cast("string").alias("id"))
+    for k in range(3):
+        lo, hi = k * 2000, (k + 1) * 2000 * (k + 1)
+        segments.append(keys.write_segment(spark.range(lo, hi).select(F.col("id").cast("string").alias("id")), f"{tmpdir_path}/{k}", hi - lo))
+        opened = []
+        assert keys.absent(new, segments).count() == 40
+        keys.stored_keys(spark, new.withColumnRenamed("id", "key"), segments, opened).count()
+        tested = sum(keys._of_buckets(spark.read.parquet(f"{s.path}/filters"), keys._hashed(new, "id", s.buckets).select("bucket").distinct()).count()
+                     for s in segments)
+        read.append((sum(t.count() for t in opened), tested))
+    assert segments[-1].buckets >= 128
+    # a filter a key and segment at most, and next to no stored key
+    assert all(t <= 40 * (k + 1) and n <= 3 * 128 for k, (n, t) in enumerate(read))
+    mixed = new.union(spark.createDataFrame([("5",), ("3999",), (None,), ("17000",)], "id string"))
+    assert keys.absent(mixed, segments).count() == 40
+    assert keys.absent(mixed.limit(0), segments).count() == 0
+    assert keys.absent(new, []).count() == 40
+    many = spark.range(0, 20_000).select(F.col("id").cast("string").alias("id"))  # more buckets than are pushed
+    assert keys.absent(many, segments).count() == 2000
+
+
+def test_appends_equal_a_fresh_build(spark, tmpdir_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 6))
+    x[300:420] = x[300]  # copies of one vector
+    q = asked(spark, np.vstack([x[:5], x[300:302], rng.normal(size=(5, 6))]))
+    collection.create(spark, tmpdir_path, 6, "m")
+    collection.append(spark, tmpdir_path, rows(spark, range(100), x[:100]), TINY)
+    v = collection.append(spark, tmpdir_path, rows(spark, range(50, 450), x[50:450]), TINY)  # 50 of them again
+    assert (v.size, v.number) == (450, 3)
+    v = collection.append(spark, tmpdir_path, rows(spark, range(600), x), TINY)
+    idx = collection.open_index(spark, tmpdir_path, settings=TINY)
+    assert v.size == idx.size == 600 and len(idx.counts) > 5 and v.next_cell > len(idx.counts)  # cells were split
+    got = collection.read(spark, tmpdir_path)
+    assert got.count() == 600 and got.select("id").distinct().count() == 600 and "batch" in got.columns
+    fresh = search.build_index(rows(spark, range(600), x), "id", "embedding", TINY)
+    assert hits(idx, q) == hits(fresh, q)
+    # an earlier version is still what it was
+    old = collection.open_index(spark, tmpdir_path, 3, TINY)
+    assert old.size == 450 and hits(old, q) == hits(search.build_index(rows(spark, range(450), x[:450]), "id", "embedding", TINY), q)
+    assert collection.append(spark, tmpdir_path, rows(spark, range(600), x), TINY).number == v.number  # nothing new
+    found = search.attach(idx, search.search(idx, q, 1), ["document"]).collect()
+    assert all(r.document == f"text {r.id[1:]}" for r in found)
+
+
+def test_reset_and_failures_between_steps(spark, tmpdir_path, monkeypatch):
+    collection.create(spark, tmpdir_path, 2, "m")
+    collection.append(spark, tmpdir_path, rows(spark, range(3), [[0, 1], [1, 0], [2, 2]]))
+    with pytest.raises(index.CollectionDimensionError):
+        collection.create(spark, tmpdir_path, 3, "other")
+    with pytest.raises(index.CollectionDimensionError):
+        collection.append(spark, tmpdir_path, rows(spark, [9], [[1, 2, 3]]))
+
+    def stop(*a, **k):
+        raise OSError("stopped before the version was written")
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "create_text", stop)
+        with pytest.raises(OSError):
+            collection.append(spark, tmpdir_path, rows(spark, [7], [[5, 5]]))
+        with pytest.raises(OSError):
+            collection.reset(spark, tmpdir_path, 3, "other")
+    v = collection.current(spark, tmpdir_path)
+    assert (v.number, v.dimension, v.size) == (2, 2, 3) and collection.read(spark, tmpdir_path).count() == 3
+    assert collection.append(spark, tmpdir_path, rows(spark, [7], [[5, 5]])).size == 4  # the retry adds it once
+    assert collection.reset(spark, tmpdir_path, 3, "other").size == 0
+    assert collection.read(spark, tmpdir_path) is None and collection.read(spark, tmpdir_path, 3).count() == 4
+    assert search.search(collection.open_index(spark, tmpdir_path), asked(spark, [[1, 2, 3]]), 3).count() == 0
+    assert collection.append(spark, tmpdir_path, rows(spark, [9], [[1, 2, 3]])).size == 1
+    with pytest.raises(collection.VersionConflict):
+        collection._commit(spark, tmpdir_path, collection.current(spark, tmpdir_path))
+
+
+def test_odd_rows(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", "x", [1.0], 1), ("a", "x", [1.0], 1), (None, "x", [1.0], 1), ("b", "x", None, 1), ("c", "x", [], 1), ("d", None, [2.0], None)],
+                               "id string, document string, embedding array<double>, n int")
+    collection.create(spark, tmpdir_path, 1, "m")
+    assert collection.append(spark, tmpdir_path, df.limit(0)).number == 1
+    v = collection.append(spark, tmpdir_path, df)
+    assert v.size == 2 and sorted(r.id for r in collection.read(spark, tmpdir_path).collect()) == ["a", "d"]
+    assert collection.current(spark, f"{tmpdir_path}/none") is None
+    with pytest.raises(ValueError):
+        collection.append(spark, f"{tmpdir_path}/none", df)
+
+
+def test_small_files(spark, tmpdir_path):
+    assert storage.names(spark, f"{tmpdir_path}/x") == [] and storage.read_text(spark, f"{tmpdir_path}/x/a") is None
+    assert storage.create_text(spark, f"{tmpdir_path}/x/a", "é")
+    assert not storage.create_text(spark, f"{tmpdir_path}/x/a", "b")
+    assert storage.read_text(spark, f"{tmpdir_path}/x/a") == "é" and "a" in storage.names(spark, f"{tmpdir_path}/x")
