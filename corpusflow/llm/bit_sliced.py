@@ -13,16 +13,22 @@ Blocks hold ``block_rows`` vectors and meet the queries in chunks of
 ``chunk_rows``: both are rows of bounded size, joined on the chunk's number. The
 stated query set against all rows, in blocks; every pair keeps k rows a query.
 
-Defined results: vectors that are null, empty, of another length than the most
-common one, or that hold a null or non-finite component take no part; neither do
-null ids; a query never matches a row with its own id, so rows repeating an id
+Integers, products and sums are exact at every size: 64 bits where they suffice,
+Python's integers in the blocks and queries where they do not. A score that a
+``long`` cannot hold is ranked exactly and given as the largest or smallest one.
+
+Defined results: vectors that are null or that hold a null or non-finite component
+take no part; neither do null ids; vectors of different length multiply as far as
+both go, an empty one scores 0; a query never matches a row with its own id, so rows repeating an id
 do not match each other but are separate candidates (the same id may come twice
 for a query); ties go to the smaller id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -103,6 +109,25 @@ def at_least(slices: list[np.ndarray], live: np.ndarray, value: int) -> np.ndarr
     return more | same
 
 
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles, exact: 64-bit integers where they fit, Python's otherwise."""
+    if not x.size or np.abs(x).max() * scale < 2.0 ** 62:
+        return np.floor(x * scale).astype(np.int64)
+    exact = [math.floor(Fraction(v) * scale) for v in x.ravel().tolist()]
+    return np.array(exact, dtype=object).reshape(x.shape)
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as the integers do, of any size."""
+    body = abs(score).to_bytes(max(1, (abs(score).bit_length() + 7) // 8), "big")
+    key = len(body).to_bytes(2, "big") + body
+    return b"\1" + key if score >= 0 else b"\0" + bytes(255 - b for b in key)
+
+
+def _bits(n: int) -> int:
+    return int(n).bit_length()
+
+
 class Block:
     """Bit slices and exact integers of up to ``block_rows`` vectors."""
 
@@ -110,33 +135,39 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.exact = ids[order], exact[order]
         self.low = self.exact.min(axis=0)
-        span = int((self.exact.max(axis=0) - self.low).max())
-        self.cut = max(0, span.bit_length() - slices)  # low bits left out
-        width = max(1, span.bit_length() - self.cut)
-        coarse = (self.exact - self.low) >> self.cut
+        above = self.exact - self.low
+        span = int(above.max())
+        self.most = max(abs(int(exact.max())), abs(int(exact.min())))
+        self.cut = max(0, _bits(span) - slices)  # low bits left out
+        width = max(1, _bits(span) - self.cut)
+        coarse = (above >> self.cut).astype(np.int64)
         pad = -len(ids) % 64
         bits = (coarse[:, :, None] >> np.arange(width)) & 1
         bits = np.pad(bits.astype(np.uint8), ((0, pad), (0, 0), (0, 0)))
         packed = np.packbits(bits, axis=0, bitorder="little").transpose(1, 2, 0)  # dimension, bit, bytes
         self.up = np.ascontiguousarray(packed).view(np.uint64)
-        self.top = (1 << width) - 1
         live = np.packbits(np.pad(np.ones(len(ids), dtype=np.uint8), (0, pad)), bitorder="little")
         self.live = live.view(np.uint64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows but the query's own."""
+        """Ids and exact scores of the k best rows but the query's own; ``query`` is as wide as the block."""
         live = self.live.copy()
         for at in range(*np.searchsorted(self.ids, [query_id, query_id + 1])):
             live[at >> 6] &= ~np.uint64(1 << (at & 63))
         n = int(np.bitwise_count(live).sum())
         if not n:
             return self.ids[:0], self.ids[:0]
+        # products and their sum fit 63 bits, or Python's integers are used
+        largest = max(abs(int(query.max())), abs(int(query.min())))
+        wide = query.dtype == object or self.exact.dtype == object or len(query) * largest * max(self.most, 1) >= 2**62
+        if wide:
+            query = query.astype(object)
         if n > k:
             # a negative weight takes the complement, top - value, so all weights are positive
             weight = np.abs(query)
-            turned = query < 0
+            turned = (query < 0).astype(bool)
             total: list[np.ndarray] = []
-            for bit in reversed(range(int(weight.max()).bit_length())):
+            for bit in reversed(range(_bits(weight.max()))):
                 chosen = (weight >> bit & 1).astype(bool)
                 total = [np.zeros_like(live), *total] if total else []
                 total = add(total, add_all(np.concatenate([self.up[chosen & ~turned], ~self.up[chosen & turned]]))) \
@@ -146,30 +177,38 @@ class Block:
                 error = int(weight.sum()) if self.cut else 0
                 live = at_least(total, live, kth_largest(total, live, k) - error)
         rows = np.flatnonzero(np.unpackbits(live.view(np.uint8), bitorder="little"))
-        scores = self.exact[rows] @ query
-        best = np.lexsort((self.ids[rows], -scores))[:k]
+        scores = (self.exact[rows].astype(object) * query).sum(axis=1) if wide else self.exact[rows] @ query
+        best = np.array(sorted(range(len(rows)), key=lambda r: (-int(scores[r]), self.ids[rows[r]]))[:k], dtype=np.int64)
         return self.ids[rows[best]], scores[best]
 
 
-def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """``id, v``: the usable vectors as integers floor(scale * x)."""
+def vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``id, v``: the usable vectors, as doubles."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    fine = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(
-        x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = table.where(F.col(id_col).isNotNull()).where(fine).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    return rows.where(F.size("v") == (lengths["n"] if lengths else 0))
+    fine = F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return table.where(F.col(id_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
+
+
+def _as_wide(v: np.ndarray, width: int) -> np.ndarray:
+    """A vector cut or filled with zeros to ``width``: a missing component adds nothing to a product."""
+    return v[:width] if len(v) >= width else np.concatenate([v, np.zeros(width - len(v))])
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 5, slices: int = 6, block_rows: int = 8192, chunk_rows: int = 1024) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for every row of ``queries``; both tables are ``id, v``."""
+def top_k(base: DataFrame, queries: DataFrame, k: int = 5, slices: int = 6, scale: int = 256, block_rows: int = 8192,
+          chunk_rows: int = 1024) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for every row of ``queries``; both tables are ``id, v``.
+
+    Components become floor(scale * x). Vectors of different length multiply as far as both go.
+    """
 
     def gather(name: str):
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = [(p["id"].to_numpy(dtype=np.int64), np.array(p["v"].tolist(), dtype=np.int32)) for p in frames if len(p)]
+            parts = [(p["id"].to_numpy(dtype=np.int64), list(p["v"])) for p in frames if len(p)]
             if parts:
-                ids, rows = (np.concatenate(x) for x in zip(*parts))
+                ids = np.concatenate([i for i, _ in parts])
+                rows = [np.asarray(v, dtype=np.float64) for _, vs in parts for v in vs]
+                width = max(1, max(map(len, rows)))
+                rows = np.stack([_as_wide(v, width) for v in rows])
                 yield pd.DataFrame({name: [TaskContext.get().partitionId()], f"{name}_ids": [ids.tobytes()], f"{name}_rows": [rows.tobytes()]})
 
         return run
@@ -182,25 +221,29 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, slices: int = 6, bloc
     meets = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pairs = blocks.join(meets, "block").sortWithinPartitions("block", "chunk")
 
+    def matrix(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, dtype=np.int64)
+        return ids, np.frombuffer(rows, dtype=np.float64).reshape(len(ids), -1)
+
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, block = None, None
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 if r.block != last:
-                    ids = np.frombuffer(r.block_ids, dtype=np.int64)
-                    exact = np.frombuffer(r.block_rows, dtype=np.int32).reshape(len(ids), -1).astype(np.int64)
-                    last, block = r.block, Block(ids, exact, slices)
-                ids = np.frombuffer(r.chunk_ids, dtype=np.int64)
-                rows = np.frombuffer(r.chunk_rows, dtype=np.int32).reshape(len(ids), -1).astype(np.int64)
-                found = []
+                    ids, rows = matrix(r.block_ids, r.block_rows)
+                    last, block = r.block, Block(ids, integers(rows, scale), slices)
+                ids, rows = matrix(r.chunk_ids, r.chunk_rows)
+                width, found = block.exact.shape[1], []
                 for i, (query_id, v) in enumerate(zip(ids.tolist(), rows)):
-                    best, scores = block.search(query_id, v, k)
-                    found += [(r.chunk << 32 | i, query_id, b, s) for b, s in zip(best.tolist(), scores.tolist())]
+                    # each query by itself: one wide vector does not slow the others down
+                    best, scores = block.search(query_id, integers(_as_wide(v, width), scale), k)
+                    found += [(r.chunk << 32 | i, query_id, b, max(-2**63, min(s, 2**63 - 1)), order_key(s))
+                              for b, s in zip(best.tolist(), scores.tolist())]
                 if found:
-                    yield pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score"])
+                    yield pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score", "key"])
 
-    found = pairs.mapInPandas(search, "query long, query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    found = pairs.mapInPandas(search, "query long, query_id long, vec_id long, score long, key binary")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.col("key").desc(), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -213,7 +256,7 @@ ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
            where vec_id is not null and embedding is not null
              and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+s as (select q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::bigint as score
       from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5

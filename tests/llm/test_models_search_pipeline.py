@@ -1,5 +1,8 @@
 """Operators 2, 7 and 9, and the pipeline."""
 
+import math
+from fractions import Fraction
+
 import brute
 import numpy as np
 import pytest
@@ -34,7 +37,7 @@ def test_search_on_odd_vectors(spark):
     v = bit_sliced.vectors(table)
     got = bit_sliced.top_k(v, v.where("id % 50 = 0"), 2).orderBy("query_id", "rank").collect()
     as_int = lambda r: [int(np.floor(256 * float(np.float32(c)))) for c in r]
-    usable = [(i, as_int(x)) for i, x in rows if i in (0, 50, 1, 8)]
+    usable = [(i, as_int(x)) for i, x in rows if i in (0, 50, 1, 6, 7, 8)]  # shorter ones multiply as far as they go
     for q in (0, 50):
         own = dict(usable)[q]
         want = sorted((-sum(a * b for a, b in zip(own, x)), i) for i, x in usable if i != q)[:2]
@@ -42,6 +45,34 @@ def test_search_on_odd_vectors(spark):
     assert bit_sliced.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("values", [[1.0, 2**23], [1e8, 2**31 - 1.0], [1e18, 3.5], [1e30, 1e-3], [1e300, -1e300]])
+def test_search_on_large_components(spark, values):
+    rng = np.random.default_rng(7)
+    x = rng.choice([*values, *(-v for v in values), 0.0, 1.0, 2.0], size=(70, 3)).tolist()
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    v = bit_sliced.vectors(table)
+    exact = [[math.floor(Fraction(c) * 256) for c in r] for r in x]
+    fits = lambda s: max(-2**63, min(s, 2**63 - 1))
+    got = [tuple(r) for r in bit_sliced.top_k(v, v.where("id % 10 = 0"), 4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 70, 10):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in range(70) if i != q)[:4]
+        want += [(q, k + 1, i, fits(-s)) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_search_does_not_wrap(spark):
+    table = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e8, 1.0]), (2, [3.0, 1.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    v = bit_sliced.vectors(table)
+    got = bit_sliced.top_k(v, v.where("id = 0"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 6553600065536), (2, 262144), (3, 196608)]
+
+
+def test_order_keys_sort_as_integers():
+    v = sorted({s * (1 << k) + d for k in range(0, 700, 7) for s in (1, -1) for d in (-1, 0, 1)})
+    assert sorted(v, key=bit_sliced.order_key) == v
+
+
 def test_search_query_matches_sql(spark):
     import duckdb
 
