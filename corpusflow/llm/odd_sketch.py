@@ -110,7 +110,8 @@ def _xor_count(a: str, b: str):
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets have 100 * intersection >= ``percent`` * union.
 
-    ``docs`` has one row per id. Both joins use the same exchange of the texts.
+    Where an id of ``docs`` has several texts, one pair of them is enough. Both
+    joins use the same exchange of the texts.
     """
     left = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -206,9 +207,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     sig = stored(signatures(docs, size), "signatures")
     classes = sig.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("first"))
     classes = stored(classes, "classes")
+    # one row per class: an id with several texts may stand for several classes
     own = sig.select("id", "n_shingles", "sketch", "bands", F.col("fp").alias("f")).join(
-        classes, (F.col("f") == F.col("fp")) & (F.col("id") == F.col("first"))).select("id", "n_shingles", "sketch", "bands")
-    own = stored(own.dropDuplicates(["id"]), "class-signatures")
+        classes, (F.col("f") == F.col("fp")) & (F.col("id") == F.col("first"))).select("f", "id", "n_shingles", "sketch", "bands")
+    own = stored(own.dropDuplicates(["f"]).drop("f"), "class-signatures")
+    # and links all of them
+    again = stored(sig.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(
+        F.col("id").alias("own")), "repeated-ids")
+    repeats = sig.join(again, F.col("id") == F.col("own")).select("id", "fp").join(classes, "fp").where("id <> first").select(
+        F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sketches = own.select("id", "n_shingles", "sketch", "bands")
     members = own.select("id", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
@@ -220,7 +227,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).where(_xor_count("s", "t") <= limit).select("a", "b")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
     stars = stored(stars, "stars")
-    links = stored(confirm(stars, texts, size, percent).distinct(), "links")
+    links = stored(confirm(stars, texts, size, percent).union(repeats).distinct(), "links")
     tested, labels = stars, stored(components(links), "labels")
     members = members.select("key", "band", "id")
     for forest in (True, False):
@@ -244,6 +251,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     named = classes.join(labels, F.col("first") == F.col("id"), "left").select(
         F.col("fp").alias("f"), F.coalesce("component", "first").alias("component"))
     out = sig.select("id", "n_shingles", "fp").join(named, F.col("fp") == F.col("f"), "left")
+    if not again.isEmpty():  # its rows without words are in an id's component too
+        of_id = out.join(again, F.col("id") == F.col("own")).groupBy("own").agg(F.min("component").alias("of_id"))
+        out = out.join(of_id, F.col("id") == F.col("own"), "left").withColumn("component", F.coalesce("of_id", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
