@@ -153,14 +153,35 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute.near_duplicates(dict(rows))
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    rng = np.random.default_rng(12)
+    a, b = ([f"w{k}" for k in rng.integers(0, 9999, 120)] for _ in range(2))
+    edited = lambda w: [*w[:60], "edit", *w[61:]]
+    rows = [(7, a), (7, b), (7, b), (8, edited(b)), (9, edited(a)), (7, []), (3, ["q", "r"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in odd_sketch.near_duplicates(df).collect()}
+    assert got == {(7, 7, True), (8, 7, False), (9, 7, False), (3, 3, True)}
+    rows = [(5, a), (9, a), (9, b), (6, edited(b))]  # the classes of 9 are named by 5 and by 9
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    assert {r["component_id"] for r in odd_sketch.near_duplicates(df).collect()} == {5}
+
+
 def _encode(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.public_tokenizer())
-    t.encode_special_tokens = True
     return [[*e.ids, packing.END_ID] for e in t.encode_batch(list(texts), add_special_tokens=False)]
 
 
+def test_ids_of_texts_with_added_tokens():
+    rng = np.random.default_rng(11)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "word", "é", "日本", " a", "'s", "12", "\t", ""]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(3000)]
+    got = packing.encoder(packing.public_tokenizer())(texts)
+    assert [[*g.tolist(), packing.END_ID] for g in got] == _encode(texts)
+    assert sum("<|endoftext|>" in t for t in texts) > 500
+
+
 def check_packing(pieces, ids, size=2048):
     """Every id once, right digests, gapless sequences; returns the padding share."""
     for d, own in pieces.groupby("doc_id"):
