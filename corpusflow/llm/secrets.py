@@ -104,11 +104,13 @@ def _runs(value: str, same) -> list[tuple[int, int]]:
     return out
 
 
-def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int | None = None) -> float:
+def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int | None = None, enough: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
     Time and memory grow linearly with the value: a word has ``longest``
-    characters at most, and the other kinds of segment are maximal runs.
+    characters at most, and the other kinds of segment are maximal runs. Where no
+    segmentation can stay below ``enough`` any more, some number of at least
+    ``enough`` is returned.
     """
     if ranks is None:
         ranks, longest = dictionary()
@@ -117,9 +119,11 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int |
     n = min(len(value), len(low))
     plain = low.translate(LEET)
     ends: dict[int, list[tuple[int, float]]] = {}
+    starts: dict[int, list[tuple[int, float]]] = {}
 
     def add(a: int, b: int, cost: float) -> None:
         ends.setdefault(b, []).append((a, cost))
+        starts.setdefault(a, []).append((b, cost))
 
     for a, b in _runs(low, str.__eq__):
         add(a, b, _char_cost(low[a]) + math.log10(b - a))
@@ -132,7 +136,11 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int |
         add(*m.span(), math.log10(365 * 60 if len(m[0]) > 4 else 100))
     best = [0.0] * (n + 1)
     brute = [0.0] + [math.inf] * n  # cheapest where the last segment is a brute-force run
+    reach = 0  # end of the last run that can still lead below ``enough``
     for i in range(1, n + 1):
+        for b, c in starts.get(i - 1, ()):
+            if best[i - 1] + c + CUT < enough:
+                reach = max(reach, b)
         brute[i] = min(brute[i - 1], best[i - 1] + CUT) + _char_cost(value[i - 1])
         cost = brute[i]
         for j in range(max(0, i - longest), i - 1):
@@ -144,6 +152,8 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None, longest: int |
         for j, c in ends.get(i, ()):
             cost = min(cost, best[j] + c + CUT)
         best[i] = cost
+        if cost >= enough and i >= reach and min(best[max(0, i - longest):i + 1]) >= enough:
+            return cost
     return best[n]
 
 
@@ -162,12 +172,16 @@ def guess_spans(text: str, base: Sequence[tuple[int, int, str]], min_log10_guess
     out = []
     if ":" not in text and "=" not in text:
         return out
+    ordered, at, covered = sorted(base), 0, 0
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < 6 or any(x <= a and b <= y for x, y, _ in base):
+        while at < len(ordered) and ordered[at][0] <= a:  # matches come by start
+            covered = max(covered, ordered[at][1])
+            at += 1
+        if len(value) < 6 or b <= covered:
             continue
-        if guess_cost(value) >= min_log10_guesses:
+        if guess_cost(value, enough=min_log10_guesses) >= min_log10_guesses:
             out.append((a, b, "guess"))
     return out
 

@@ -1,6 +1,10 @@
 """Operators 6, 8 and 10, against plain Python and SQL."""
 
 import hashlib
+import itertools
+import math
+import random
+import time
 
 import brute
 import duckdb
@@ -162,3 +166,57 @@ def test_values_of_one_class_and_after_a_scheme_are_found():
     assert guessed("Authorization: Bearer q7Zt-x2Lw9vKd4") == guessed("auth: Basic q7Zt-x2Lw9vKd4") == ["q7Zt-x2Lw9vKd4"]
     for prose in ("login: information", "pin: placement", "auth: required for everybody", "secret = unbelievable", "login: Government"):
         assert guessed(prose) == [], prose
+
+
+def plain_cost(value, ranks):
+    """The cheapest of all segmentations, tried one by one."""
+    if not value:
+        return 0.0
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+    n, cut = len(value), secrets.CUT
+
+    def kinds(a, b):
+        part = low[a:b]
+        # only a value's leading brute-force run has no cut before it
+        yield sum(secrets._char_cost(c) for c in value[a:b]) - (cut if a == 0 else 0)
+        if b - a >= 2 and plain[a:b] in ranks:
+            yield (ranks[plain[a:b]] + (0 if value[a:b].islower() else cut) + cut * sum(x != y for x, y in zip(part, plain[a:b])))
+        for same, cost in ((lambda x, y: x == y, secrets._char_cost(part[0]) + math.log10(b - a)),
+                           (lambda x, y: x + y in secrets.WALKS, math.log10(47) + math.log10(4) * math.log2(b - a)),
+                           (lambda x, y: ord(y) - ord(x) == 1, math.log10(26) + math.log10(b - a)),
+                           (lambda x, y: ord(y) - ord(x) == -1, math.log10(26) + math.log10(b - a))):
+            inside = all(same(x, y) for x, y in zip(part, part[1:]))
+            maximal = (a == 0 or not same(low[a - 1], low[a])) and (b == n or not same(low[b - 1], low[b]))
+            if b - a >= 3 and inside and maximal:
+                yield cost
+        if (a, b) in dates:
+            yield math.log10(365 * 60 if b - a > 4 else 100)
+
+    dates = {m.span() for m in secrets.DATE.finditer(low)}
+    best = math.inf
+    for cuts in itertools.product([0, 1], repeat=max(0, n - 1)):
+        at = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+        best = min(best, sum(min(kinds(a, b)) + cut for a, b in zip(at, at[1:])))
+    return best
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    ranks = {"pass": 0.5, "word": 0.9, "password": 0.3, "no": 1.1, "at": 1.4, "ass": 2.0}
+    rng = random.Random(5)
+    bits = ["pass", "P4ss", "word", "no", "1999", "12", "abc", "cba", "qwe", "aaa", "zz", "!", "X", "7", "at"]
+    for _ in range(120):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))[:11]
+        want = plain_cost(value, ranks)
+        assert secrets.guess_cost(value, ranks, 8) == pytest.approx(want), value
+        for enough in (1.0, 3.0, 6.0):
+            assert (secrets.guess_cost(value, ranks, 8, enough=enough) >= enough) == (want >= enough - 1e-12), value
+
+
+def test_crowded_and_long_texts_take_linear_time():
+    started = time.time()
+    text = "\n".join(f"password: hunter{k}zz and pin = x{k}" for k in range(100_000))
+    base, spans = secrets.find(text)
+    assert len(base) == 100_000 and len(spans) >= len(base)
+    assert len(secrets.find("login = " + "xK9q" * 100_000)[1]) == 1
+    assert time.time() - started < 60
