@@ -21,6 +21,7 @@ from corpusflow.config import DEFAULT, Settings
 from corpusflow.functions.sequence import seq_within
 from corpusflow.functions.text import py_strip
 from corpusflow.functions.vectors import pearson
+from corpusflow.session import materialize
 
 
 def number_frames(df: DataFrame, video: str, order_cols: list[str], out: str = "frame_no") -> DataFrame:
@@ -142,6 +143,34 @@ def ocr_text(tokens: DataFrame, video: str = "video_id", frame_col: str = "frame
                                         ordered_join(F.col(frame_col), F.col("frame_text"), "\n").alias("text"))
 
 
+def video_text(frames: DataFrame, tokens: DataFrame, video: str = "video_id", frame_col: str = "frame_no", total_col: str | None = None,
+               threshold: float | None = None, max_frames: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """The text of every video, from frame features to joined tokens.
+
+    ``frames`` has ``brightness, edge_count, hist`` per numbered frame, ``tokens``
+    the recognised words of all frames. Wide columns are read late: the sampled and
+    relevant frames are chosen on narrow columns, histograms are read for those
+    only, and tokens for the kept frames only. Both are semi-joins on (video, frame)
+    with the chosen keys, at most ``2 * max_frames`` a video, which are broadcast as
+    long as they fit ``broadcast_max_bytes`` and shuffled beyond. Videos without a
+    kept frame with text have no row; null features make a frame irrelevant.
+    """
+    most = max_frames or settings.max_frames
+    keys = frames.select(video, frame_col, "brightness", "edge_count", *([total_col] if total_col else []))
+    keys = stride_sample(keys, video, frame_col, total_col, most).filter(relevant(F.col("brightness"), F.col("edge_count"), settings))
+    chosen = _checked(materialize(keys.select(video, frame_col)), settings)
+    hists = frames.select(video, frame_col, "hist").join(chosen, [video, frame_col], "left_semi")
+    kept = dedup_sequence(hists, video, frame_col, "hist", settings.similarity_threshold if threshold is None else threshold)
+    kept = cap_frames(kept.select(video, frame_col), video, frame_col, most)
+    own = tokens.join(_checked(materialize(kept), settings), [video, frame_col], "left_semi")
+    return ocr_text(own, video, frame_col, "token_no", settings)
+
+
+def _checked(keys: DataFrame, settings: Settings) -> DataFrame:
+    """``keys`` marked for a broadcast where their number allows it."""
+    return F.broadcast(keys) if keys.count() * 64 <= settings.broadcast_max_bytes else keys
+
+
 def image_resize_plan(width: Column, height: Column, settings: Settings = DEFAULT) -> Column:
     """Upscale to at least min size by the larger ratio, int truncation, never shrink."""
     w, h = width.cast("double"), height.cast("double")

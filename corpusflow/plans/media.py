@@ -89,6 +89,17 @@ def ocr_token_text(spark, base):
     return G.ocr_text(toks, "video_id", "frame_no", "token_no")
 
 
+def video_text(spark, base):
+    """Embeddings are frames (histogram, brightness and edges from its first bins), documents their recognised words."""
+    f = _hist_frames(spark, base).withColumnRenamed("seq", "frame_no")
+    f = f.withColumns({"brightness": F.abs(F.col("hist")[0].cast("double")) * 400, "edge_count": F.abs(F.col("hist")[1].cast("double")) * 8000})
+    d = spread(read_table(spark, base, "documents").select("doc_id", "text"))
+    words = d.select(F.col("doc_id").alias("vec_id"), F.posexplode(F.split("text", "[ \n]")).alias("token_no", "text"))
+    words = words.withColumn("conf", F.conv(F.substring(F.md5(F.col("text")), 1, 2), 16, 10).cast("int") * F.lit(100.0) / F.lit(255.0))
+    toks = words.join(f.select("vec_id", "video_id", "frame_no"), "vec_id").drop("vec_id")
+    return G.video_text(f, toks, threshold=DEDUP_THRESHOLD)
+
+
 def image_resize_plan(spark, base):
     """Sizes derived from part, plus edge sizes."""
     _prep(spark)

@@ -402,6 +402,26 @@ walk AS (
 SELECT video_id, vec_id FROM walk WHERE kept
 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY pos) <= 100"""
 
+ORACLES["video_text"] = f"""
+WITH RECURSIVE s AS (
+  SELECT video_id, vec_id, hist, seq, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS pos
+  FROM {_HF} WHERE seq % greatest(1, total // 100) = 0 AND abs(hist[1]) * 400 >= 30 AND abs(hist[2]) * 8000 >= 500),
+walk AS (
+  SELECT video_id, pos, vec_id, seq, true AS kept, hist AS last FROM s WHERE pos = 1
+  UNION ALL
+  SELECT s.video_id, s.pos, s.vec_id, s.seq, NOT ({_pearson('s.hist', 'w.last')} > 0.2) AS kept,
+         CASE WHEN {_pearson('s.hist', 'w.last')} > 0.2 THEN w.last ELSE s.hist END AS last
+  FROM walk w JOIN s ON s.video_id = w.video_id AND s.pos = w.pos + 1),
+kept AS (SELECT video_id, vec_id, seq FROM walk WHERE kept QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY pos) <= 100),
+toks AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS tok,
+         generate_subscripts(regexp_split_to_array(text, '[ \\n]'), 1) AS token_no FROM documents),
+frames AS (
+  SELECT k.video_id, k.seq, string_agg(trim(t.tok), ' ' ORDER BY t.token_no) AS frame_text
+  FROM kept k JOIN toks t ON t.doc_id = k.vec_id
+  WHERE ('0x' || substr(md5(t.tok), 1, 2))::INTEGER * 100.0::DOUBLE / 255.0::DOUBLE > 60 AND length(trim(t.tok)) > 1 GROUP BY ALL)
+SELECT video_id, count(*) AS n_frames, string_agg(frame_text, chr(10) ORDER BY seq) AS text FROM frames GROUP BY video_id"""
+
 ORACLES["ocr_token_text"] = """
 WITH lines AS (
   SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS line,
@@ -466,7 +486,24 @@ ORACLES["docx_extract"] = "SELECT doc_id, length(text)::INTEGER AS n_chars, true
 
 ORACLES["chunk_documents_native"] = ORACLES["chunk_documents"]
 
-ORACLES["stream_query_log"] = "SELECT text AS query, 5 AS num_results FROM benchmark"
+ORACLES["stream_query_log"] = f"SELECT *, true AS timed FROM ({ORACLES['query_log_rows']})"
+
+ORACLES["batch_sink"] = ORACLES["index_rows"]
+
+#: Every conversation's user messages with the stripped echo after each; history is the five messages before.
+ORACLES["turn_stream"] = f"""
+WITH r AS (SELECT conversation_id, turn, content, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS k
+           FROM {_MSG} WHERE role = 'user' AND trim(content) <> ''),
+o AS (SELECT *, row_number() OVER (ORDER BY k, conversation_id, turn) AS no FROM r),
+m AS (SELECT 2 * no - 1 AS id, conversation_id, 2 * k - 1 AS at, 'user' AS role, content FROM o
+      UNION ALL SELECT 2 * no, conversation_id, 2 * k, 'assistant', regexp_replace(content, '^\\s+|\\s+$', '', 'g') FROM o),
+h AS (SELECT u.id, string_agg(p.role || ': ' || p.content, chr(10) ORDER BY p.at) AS history
+      FROM m u JOIN m p ON p.conversation_id = u.conversation_id AND p.at BETWEEN u.at - 5 AND u.at - 1
+      WHERE u.role = 'user' GROUP BY u.id)
+SELECT m.id, m.conversation_id, m.role, m.content,
+       CASE WHEN m.role = 'user' THEN '### Previous Conversation:' || chr(10) || coalesce(h.history, '') || chr(10) || chr(10) ||
+       {_prompt('m.content', 'NULL')} END AS prompt
+FROM m LEFT JOIN h USING (id)"""
 
 ORACLES["request_defaults"] = """
 SELECT item_id, length(text)::INTEGER AS query_len,

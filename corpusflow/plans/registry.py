@@ -59,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "histogram_corr": media.histogram_corr,
     "sequence_dedup": media.sequence_dedup,
     "ocr_token_text": media.ocr_token_text,
+    "video_text": media.video_text,
     "image_resize_plan": media.image_resize_plan,
     "frame_resize_plan": media.frame_resize_plan,
     "video_stats": media.video_stats,
@@ -67,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "docx_extract": streams.docx_extract,
     "csv_render": streams.csv_render,
     "stream_query_log": streams.stream_query_log,
+    "turn_stream": streams.turn_stream,
+    "batch_sink": streams.batch_sink,
     "paged_file_extract": streams.paged_file_extract,
 }
 

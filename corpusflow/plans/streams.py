@@ -12,9 +12,11 @@ from corpusflow.config import DEFAULT
 from corpusflow.functions.partitions import spread
 from corpusflow.plans import retrieval
 from corpusflow.plans.retrieval import _prep
+from corpusflow.sources import batches
 from corpusflow.sources import extract as X
 from corpusflow.sources.tables import read_table
 from corpusflow.streaming import ingest as L
+from corpusflow.streaming import ledger
 
 
 def _table_stream(spark, base, name):
@@ -91,13 +93,45 @@ def csv_render(spark, base):
 
 
 def stream_query_log(spark, base):
-    """L2: text-search requests arrive as a stream and are appended to the query log per batch."""
+    """L2: a stream of text searches, logged with ids, limits, hits and time; replayed once, which changes nothing."""
     _prep(spark)
     root = L.stream_root(spark, "log")
+    idx = retrieval._text_index(spark, base)
     req = _table_stream(spark, base, "benchmark").select(
-        F.col("text").alias("query"), F.lit(DEFAULT.default_n_results).alias("n_results"))
-    L.start_query_log(req, os.path.join(root, "log"), os.path.join(root, "checkpoint")).awaitTermination()
-    return spark.read.parquet(os.path.join(root, "log")).select("query", "num_results")
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(DEFAULT.default_n_results).alias("n_results"))
+    for run in range(2):  # the second stream has forgotten its progress and repeats every batch
+        L.start_logged_search(req, idx, os.path.join(root, "log"), os.path.join(root, f"checkpoint-{run}")).awaitTermination()
+    log = ledger.read_table(spark, os.path.join(root, "log"), "log", L.LOG)
+    return log.select("id", "query", "num_results", "effective_k", "returned", (F.col("query_response_time") >= 0).alias("timed"))
+
+
+def turn_stream(spark, base):
+    """B5 + B6 + H3 + I4: the user messages of ``conversations`` as a stream of turns, without retrieval; one replay."""
+    from corpusflow.operators import prompt
+    from corpusflow.streaming import turns
+
+    _prep(spark)
+    root = L.stream_root(spark, "turns")
+    req = _table_stream(spark, base, "conversations").where("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("conv_id").alias("conversation_id"), F.col("text").alias("query"))
+    nothing = lambda q: q.select("query_id", F.lit(None).cast("string").alias("context"))
+    for run in range(2):
+        turns.start_turns(req, os.path.join(root, "turns"), os.path.join(root, f"checkpoint-{run}"), nothing, prompt.EchoGenerator()).awaitTermination()
+    m = ledger.read_table(spark, os.path.join(root, "turns"), "messages", turns.MESSAGES)
+    return m.select("id", "conversation_id", "role", "content", "prompt")
+
+
+def batch_sink(spark, base):
+    """B1: the collection's rows written in batches by the data source, and read back by its list."""
+    _prep(spark)
+    path = L.stream_root(spark, "batches")
+    rows = retrieval.collection_rows(spark, base, batch_size=7).drop("embedding", "ingested_at")
+    for _ in range(2):  # the same job again adds nothing
+        batches.write_batches(rows, path, job="load")
+    r = batches.read_batches(spark, path, rows.schema)
+    return r.select("id", F.col("metadata.source").alias("source"), F.col("metadata.file_type").alias("file_type"),
+                    F.col("metadata.chunk_index").alias("chunk_index"), F.col("metadata.chunk_total").alias("chunk_total"),
+                    F.col("metadata.batch").alias("batch"), F.length("document").alias("doc_len"))
 
 
 def paged_file_extract(spark, base):

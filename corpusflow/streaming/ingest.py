@@ -14,14 +14,18 @@ shared ``spark.checkpoint.dir``) neither loses nor duplicates rows:
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.config import DEFAULT, Settings
-from corpusflow.operators import chunking, embedding, index, search
-from corpusflow.session import checkpoint_dir, ship_package
+from corpusflow.functions.text import clamp, default
+from corpusflow.operators import chunking, embedding, history, index, search
+from corpusflow.session import checkpoint_dir, materialize, ship_package
+from corpusflow.streaming import ledger
 
 
 def stream_root(spark: SparkSession, name: str) -> str:
@@ -54,7 +58,7 @@ def start_ingest(docs_stream: DataFrame, collection_path: str, checkpoint_locati
 
 def start_query_log(requests_stream: DataFrame, log_path: str, checkpoint_location: str,
                     query_col: str = "query", requested_col: str = "n_results", available_now: bool = True):
-    """L2: continuous query log; ids are dense within a batch and prefixed by the batch id."""
+    """L2: continuous log of requests as they arrive, before any search (``start_logged_search`` logs searches)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.col(query_col).alias("query"), F.col(requested_col).cast("int").alias("num_results"),
@@ -83,6 +87,46 @@ def start_search(requests_stream: DataFrame, idx: search.IvfIndex, out_path: str
     return w.start()
 
 
+LOG = "id long, query string, num_results int, effective_k int, returned int, query_response_time double, timestamp timestamp"
+HITS = "query_id long, rank long, id string, distance double"
+
+
+def start_logged_search(requests_stream: DataFrame, idx: search.IvfIndex, root: str, checkpoint_location: str,
+                        query_id: str = "query_id", text_col: str = "query", requested_col: str = "n_results", embedder=None,
+                        available_now: bool = True, settings: Settings = DEFAULT):
+    """L2 + L3: each micro-batch is searched (k = the request's limit, clamped) and logged, in one commit.
+
+    Log rows have dense ids over the whole stream, in order of batch and request,
+    the requested, effective and returned number of hits, and the seconds from the
+    batch's start until its hits were there, shared by its requests. A replayed
+    batch keeps its ids and writes nothing. Read with ``ledger.read_table`` (tables
+    ``log`` and ``hits``). Requests have distinct, non-null ids.
+    """
+    ship_package(requests_stream.sparkSession)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id in ledger.committed(spark, root):
+            return
+        started = time.monotonic()
+        k = clamp(default(F.col(requested_col), settings.default_n_results), settings.k_min, settings.k_max)
+        q = materialize(batch.select(F.col(query_id).alias("query_id"), F.col(text_col).alias("query"),
+                                     default(F.col(requested_col), settings.default_n_results).cast("int").alias("requested"), k.cast("int").alias("k")))
+        asked = q.select("query_id", embedding.embed_column(F.col("query"), embedder).alias("embedding"), "k")
+        hits = materialize(search.search(idx, asked, F.col("k")))
+        got = hits.groupBy("query_id").agg(F.count("*").alias("returned"))
+        seconds = time.monotonic() - started
+        after = ledger.reserve(spark, f"{root}/_log_ids", batch_id, q.count())
+        rows = q.join(got, "query_id", "left").withColumns({"returned": F.coalesce("returned", F.lit(0)), "seconds": F.lit(seconds)})
+        log = history.query_log_rows(rows, "query", "requested", "returned", "seconds", after, ["query_id"], settings)
+        log = log.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(LOG)))
+        ledger.write_batch(spark, root, batch_id, {"log": log, "hits": hits})
+
+    w = requests_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def files_to_documents(files_df: DataFrame, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """A1-A4, A10, C1/C2 on a batch of ``binaryFile`` rows: (documents, rejects).
 
