@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from corpusflow.config import DEFAULT
 from corpusflow.functions.partitions import spread
+from corpusflow.operators import collection
 from corpusflow.plans import retrieval
 from corpusflow.plans.retrieval import _prep
 from corpusflow.sources import batches
@@ -31,10 +32,10 @@ def stream_ingest(spark, base):
     docs = _table_stream(spark, base, "documents").select(
         "doc_id", "text", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.lit("txt").alias("file_type"))
-    for _ in range(2):  # the replay must be a no-op (checkpoint + insert-if-absent)
-        q = L.start_ingest(docs, os.path.join(root, "collection"), os.path.join(root, "checkpoint"))
-        q.awaitTermination()
-    c = spark.read.parquet(os.path.join(root, "collection"))
+    path = os.path.join(root, "collection")
+    for run in range(2):  # the second stream has forgotten its progress: its rows are all stored already
+        L.start_collection_ingest(docs, path, os.path.join(root, f"checkpoint-{run}")).awaitTermination()
+    c = collection.read(spark, path)
     return c.select("id", F.col("metadata.source").alias("source"), F.col("metadata.chunk_index").alias("chunk_index"),
                     F.col("metadata.chunk_total").alias("chunk_total"), F.col("metadata.batch").alias("batch"),
                     F.length("document").alias("doc_len"))

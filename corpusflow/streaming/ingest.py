@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from corpusflow.config import DEFAULT, Settings
 from corpusflow.functions.text import clamp, default
-from corpusflow.operators import chunking, embedding, history, index, search
+from corpusflow.operators import chunking, collection, embedding, history, index, search
 from corpusflow.session import checkpoint_dir, materialize, ship_package
 from corpusflow.streaming import ledger
 
@@ -56,6 +56,27 @@ def start_ingest(docs_stream: DataFrame, collection_path: str, checkpoint_locati
     return w.start()
 
 
+def start_collection_ingest(docs_stream: DataFrame, path: str, checkpoint_location: str, model: str = "hash",
+                            available_now: bool = True, settings: Settings = DEFAULT, embedder=None, **kw):
+    """L1 into a stored collection: every micro-batch is an append, and so a version.
+
+    A batch reads the Bloom filters of its ids' buckets, not the stored ids, and
+    its vectors go into the existing cells. A replayed batch finds its ids stored
+    and makes no version.
+    """
+    spark = docs_stream.sparkSession
+    ship_package(spark)
+    collection.create(spark, path, (embedder or embedding.HashEmbedder(settings.embed_dim)).dimension, model)
+    rows = ingest_batch(docs_stream, settings=settings, embedder=embedder, **kw)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        collection.append(batch.sparkSession, path, batch, settings)
+
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def start_query_log(requests_stream: DataFrame, log_path: str, checkpoint_location: str,
                     query_col: str = "query", requested_col: str = "n_results", available_now: bool = True):
     """L2: continuous log of requests as they arrive, before any search (``start_logged_search`` logs searches)."""

@@ -31,6 +31,23 @@ def test_ingest_stream_replay_and_new_files(spark, tmpdir_path):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, spark.read.parquet(coll).select("id", "document").collect()))
 
 
+def test_collection_ingest_appends_versions(spark, tmpdir_path):
+    from corpusflow.operators import collection
+
+    src, path = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "coll")
+    schema = "doc_id long, text string, filename string, file_type string"
+    spark.createDataFrame([(1, "alpha beta gamma " * 40, "a.txt", "txt")], schema).coalesce(1).write.parquet(src + "/1")
+    spark.createDataFrame([(2, "delta " * 10, "b.txt", "txt"), (3, " ", "c.txt", "txt")], schema).coalesce(1).write.parquet(src + "/2")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    L.start_collection_ingest(stream, path, os.path.join(tmpdir_path, "ck1")).awaitTermination()
+    v = collection.current(spark, path)
+    assert v.number == 3 and len(v.segments) == 2
+    L.start_collection_ingest(stream, path, os.path.join(tmpdir_path, "ck2")).awaitTermination()  # a replay from the start
+    assert collection.current(spark, path) == v
+    batch = L.ingest_batch(spark.read.parquet(src + "/*")).select("id", "document")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, collection.read(spark, path).select("id", "document").collect()))
+
+
 def test_query_log_and_search_streams(spark, tmpdir_path):
     base = "/root/testdata/sf0.001"
     req_dir = os.path.join(tmpdir_path, "req")
