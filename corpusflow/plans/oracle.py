@@ -511,3 +511,4 @@ SELECT item_id, length(text)::INTEGER AS query_len,
 FROM benchmark"""
 
 ORACLES["paged_file_extract"] = ORACLES["paged_text_concat"]
+ORACLES["paged_source"] = ORACLES["paged_text_concat"]

@@ -71,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "turn_stream": streams.turn_stream,
     "batch_sink": streams.batch_sink,
     "paged_file_extract": streams.paged_file_extract,
+    "paged_source": streams.paged_source,
 }
 
 

@@ -14,6 +14,7 @@ from corpusflow.operators import collection
 from corpusflow.plans import retrieval
 from corpusflow.plans.retrieval import _prep
 from corpusflow.sources import batches
+from corpusflow.sources import paged as S_paged
 from corpusflow.sources import extract as X
 from corpusflow.sources.tables import read_table
 from corpusflow.streaming import ingest as L
@@ -147,3 +148,28 @@ def paged_file_extract(spark, base):
     files_df = paged.select("conv_id", F.encode("t", "UTF-8").alias("content"))
     pages = X.extract_pages(files_df, key="conv_id")
     return S.paged_text(pages, "conv_id", "page_no", "text")
+
+
+def paged_source(spark, base):
+    """A7 + K3: the same paged files, written to the shared folder and read page by page in byte ranges."""
+    from corpusflow.operators.prompt import ordered_join
+    from corpusflow.sources import files as S
+
+    _prep(spark)
+    root = L.stream_root(spark, "paged")
+    c = read_table(spark, base, "conversations")
+    paged = c.groupBy("conv_id").agg(ordered_join(F.col("turn"), F.col("text"), "\f").alias("t"))
+
+    def write(it):
+        where, folder = batches._open(root)
+        where.create_dir(folder, recursive=True)
+        for pdf in it:
+            for i, t in zip(pdf["conv_id"], pdf["t"]):
+                with where.open_output_stream(f"{folder}/{i}.txt") as out:
+                    out.write(t.encode())
+            yield pdf[["conv_id"]]
+
+    paged.mapInPandas(write, "conv_id long").count()
+    pages = S_paged.read_pages(spark, root, range_bytes=1000)
+    pages = pages.withColumn("conv_id", F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long"))
+    return S.paged_text(pages, "conv_id", "page_no", "text")
