@@ -142,9 +142,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, li
 
     ``held_out`` maps the id column to a condition. Conflicting repeated labels
     count as the larger one; null labels and ids are left out. The chosen ids,
-    ``limit`` at most, are broadcast; the documents are not shuffled.
+    ``limit`` at most, are broadcast; the documents are not shuffled. Of rows that
+    repeat an id the smallest text counts, so there are at most ``limit`` rows.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
