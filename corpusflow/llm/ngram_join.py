@@ -14,8 +14,11 @@ and a set is matched with all of them at once, the overlap with a common prefix
 being counted once. A subtree goes when the overlap so far and what is left on
 either side cannot reach the threshold. First a set is joined with the best
 connected member of its keys, then the best connected member of every key that
-still holds several components with all others; only keys that stay open are
-joined as blocks, so copies are never expanded into pairs.
+still holds several components with all others; what the other members of open
+keys leave is found in blocks. Before sets are sent to a join, parity bitmaps rule
+pairs out: the XOR of two has no more bits than their sets differ in n-grams, so no
+link is lost, and hardly a pair but the links is left. Blocks report a spanning
+forest first, so copies are not expanded into pairs.
 
 Keys travel packed, sorted, and combined per task, so a key of a third of all
 sets costs each reducer one entry per task. Classes of equal sets travel as one
@@ -45,16 +48,22 @@ from corpusflow.llm.shingles import hashed_docs, mix, shingle_hashes, whole_grou
 
 PERCENT = 85
 #: Keys combined in a task before they are sent.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Keys compared in one range of the key space.
 RANGE = 2_000_000
-#: Members of a block, and of one part of a star.
-BLOCK = 128
+#: Members of a block of bitmaps, and of one part of a star of sets.
+BLOCK = 1024
 STAR = 512
+#: Longest parity bitmap; larger sets are ruled out less often.
+MOST_BITS = 2**15
+#: Pairs of a query and a trie's root or row followed at once.
+PAIRS = 2**15
 #: N-grams of a trie edge looked at between two bound checks.
 STEP = 64
 #: N-grams joined in one go.
-BATCH = 1_000_000
+BATCH = 400_000
+#: Words of bitmaps compared at once.
+SLICE = 2**19
 
 
 class Bands:
@@ -219,7 +228,8 @@ class Forest:
         order = sorted(range(len(rows)), key=lambda i: (roots[i], rows[i].astype(">u8").tobytes()))
         self.rows, self.row = [rows[i] for i in order], order
         self.start = np.cumsum([0, *(len(r) for r in self.rows)])
-        self.flat = np.concatenate(self.rows) if rows else np.empty(0, dtype=np.uint64)
+        flat = np.concatenate(self.rows) if rows else np.empty(0, dtype=np.uint64)
+        self.every, self.token = np.unique(flat, return_inverse=True)
         up, owner, begin, end, ends_at = [], [], [], [], []
         self.root: dict = {}
         path: list[int] = []  # nodes of the row before, from its root
@@ -276,31 +286,50 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def trie_join(roots: list, rows: list[np.ndarray], asked: list, queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of queries and rows of the same root that link; sets are sorted and not empty."""
     t = Forest(roots, rows)
-    known = [i for i, r in enumerate(asked) if r in t.root]
-    if not known:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    sizes = pd.Series(roots).value_counts() if roots else {}
+    found, part, n = [(np.empty(0, dtype=np.int64),) * 2], [], 0
+    for i, r in enumerate(asked):
+        if r in t.root:
+            part.append(i)
+            n += int(sizes[r])
+        if part and (n >= PAIRS or i == len(asked) - 1):
+            x, y = _traversed(t, [t.root[asked[k]] for k in part], [queries[k] for k in part], percent)
+            found.append((np.array(part, dtype=np.int64)[x], y))
+            part, n = [], 0
+    if part:
+        x, y = _traversed(t, [t.root[asked[k]] for k in part], [queries[k] for k in part], percent)
+        found.append((np.array(part, dtype=np.int64)[x], y))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def _traversed(t: Forest, roots: list[int], queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries and rows that link, from a root of the forest for each query."""
     size = np.array([len(q) for q in queries], dtype=np.int64)
-    every, number = np.unique(np.concatenate([t.flat, *queries]), return_inverse=True)
-    width, number = len(every), number.astype(np.int64)
-    token = number[:len(t.flat)]
-    stop = np.cumsum(size)
-    asks = np.repeat(np.arange(len(queries)), size) * width + number[len(t.flat):]
-    q = np.array(known, dtype=np.int64)
-    v = np.array([t.root[asked[i]] for i in known], dtype=np.int64)
+    stop, width = np.cumsum(size), len(t.every) + 1
+    flat = np.concatenate(queries)
+    # the number of an n-gram, or of the next larger one of the forest: only equal ones are hits
+    number = np.searchsorted(t.every, flat)
+    known = t.every[np.minimum(number, len(t.every) - 1)] == flat
+    of = np.repeat(np.arange(len(queries)), size)
+    asks = of[known] * width + number[known]
+    cut_known = np.concatenate([[0], np.cumsum(known)])  # known n-grams before a place of ``flat``
+    order_of = of * width + number
+    q, v = np.arange(len(queries)), np.array(roots, dtype=np.int64)
     at, overlap = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
     found_q, found_row = [], []
     while len(q):
         take = np.minimum(t.end[v] - at, STEP)
         base = t.start[t.owner[v]] + at
-        sought = np.repeat(q, take) * width + token[_ranges(base, take)]
+        sought = np.repeat(q, take) * width + t.token[_ranges(base, take)]
         place = np.searchsorted(asks, sought)
-        hit = asks[np.minimum(place, len(asks) - 1)] == sought
+        hit = asks[np.minimum(place, len(asks) - 1)] == sought if len(asks) else np.zeros(len(sought), dtype=bool)
         total = np.concatenate([[0], np.cumsum(hit)])
         cut = np.cumsum(take)
         overlap = overlap + total[cut] - total[cut - take]
         at = at + take
-        # what is left of the query beyond the last n-gram seen
-        left = np.where(at > 0, stop[q] - np.searchsorted(asks, q * width + token[np.maximum(base + take - 1, 0)], side="right"), size[q])
+        # the query's n-grams beyond the last one seen that the forest knows
+        after = np.searchsorted(order_of, q * width + t.token[np.maximum(base + take - 1, 0)], side="right")
+        left = np.where(at > 0, cut_known[stop[q]] - cut_known[np.minimum(after, stop[q])], cut_known[stop[q]] - cut_known[stop[q] - size[q]])
         need = -(-percent * (size[q] + t.shortest[v]) // (100 + percent))
         alive = overlap + np.minimum(left, t.longest[v] - at) >= need
         q, v, at, overlap = q[alive], v[alive], at[alive], overlap[alive]
@@ -356,11 +385,67 @@ def _joined(size: int, percent: int):
 
 def _links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``rows``: ``g, i, j, side, c, label``. A group's texts meet once, in one task."""
-    full = rows.join(texts, "c").select("g", "i", "j", "side", "label", "id", "text")
+    # written first, so that its size is known: few rows are sent to the texts, and the texts stay where they are
+    full = stored(rows, "ngram-groups").join(texts, "c").select("g", "i", "j", "side", "label", "id", "text")
     dealt = full.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "id")
     return dealt.mapInPandas(_joined(size, percent), "a long, b long").distinct()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A set folded into a bitmap in which every n-gram flips one bit: the XOR of two has no more bits than the sets' difference."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _same_length(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the shortest one's length."""
+    shortest = min(map(len, bitmaps))
+    out = []
+    for b in bitmaps:
+        v = np.frombuffer(b, dtype=np.uint8)
+        while len(v) > shortest:
+            v = v[:len(v) // 2] ^ v[len(v) // 2:]
+        out.append(v)
+    return np.stack(out).view(np.uint64)
+
+
+def folded(bitmap: bytes) -> bytes:
+    """A quarter of a bitmap (eight bytes at least): XORs of such rule less out, and never a link."""
+    return _same_length([bitmap, bytes(max(8, len(bitmap) // 4))])[0].tobytes()
+
+
+def _marks(texts: DataFrame, size: int) -> DataFrame:
+    """``c, n, bits, few``: size, bitmap and folded bitmap of every set."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                sets = ordered_sets(part["text"], size)
+                rows = [(c, len(s), parity(s)) for c, s in zip(part["c"], sets) if len(s)]
+                yield pd.DataFrame([(*r, folded(r[2])) for r in rows], columns=["c", "n", "bits", "few"])
+
+    return stored(texts.select("c", "text").mapInPandas(run, "c long, n long, bits binary, few binary").distinct(), "ngram-marks")
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (``hub, c`` and others) whose bitmaps do not rule a link out."""
+    m = lambda a: marks.select(F.col("c").alias(f"{a}_c"), F.col("n").alias(f"{a}_n"), F.col("bits").alias(f"{a}_bits"))
+    both = pairs.join(m("x"), F.col("hub") == F.col("x_c")).join(m("y"), F.col("c") == F.col("y_c"))
+    # sizes rule out first, in the JVM
+    names = pairs.columns
+    both = both.where(100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            most = (pdf["x_n"] + pdf["y_n"]) * (100 - percent) // (100 + percent)
+            far = [int(np.bitwise_count(np.bitwise_xor(*_same_length([x, y]))).sum()) for x, y in zip(pdf["x_bits"], pdf["y_bits"])]
+            yield pdf.loc[np.array(far, dtype=np.int64) <= most.to_numpy(), names]
+
+    return both.mapInPandas(run, pairs.schema).distinct()
+
+
 def _stars(pairs: DataFrame) -> DataFrame:
     """Groups of a hub and up to ``STAR`` or so of its members, from ``hub, c`` and their labels."""
     n = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("parts"), F.first("hub_label").alias("label"))
@@ -373,20 +458,75 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return members.unionByName(hubs)
 
 
-def _blocks(m: DataFrame) -> DataFrame:
-    """The members ``key, c, label, n`` of open keys in blocks of about ``BLOCK`` by ``BLOCK``; equal small groups once."""
+def _block_pairs(percent: int, forest: bool):
+    """Pairs of a block that bitmaps and labels leave; a spanning forest of their labels, or all."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = ["g", "i", "j"]
+        for pdf in whole_groups(frames, keys):
+            for _, block in pdf.groupby(keys, sort=False):
+                side, c, label, n = (block[k].to_numpy() for k in ("side", "c", "label", "n"))
+                bits = _same_length(block["bits"].tolist())
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                step = max(1, SLICE // (max(len(y), 1) * bits.shape[1]))
+                root: dict[int, int] = {}
+                for at in range(0, len(x), step):
+                    part = x[at:at + step]
+                    far = np.bitwise_count(bits[part][:, None] ^ bits[y][None]).sum(axis=2, dtype=np.int64)
+                    fine = far <= (n[part][:, None] + n[y][None]) * (100 - percent) // (100 + percent)
+                    i, j = np.nonzero(fine & (label[part][:, None] != label[y][None]))
+                    if forest:
+                        order = np.argsort(far[i, j], kind="stable")
+                        i, j = i[order], j[order]
+                        joins = _joining(label[part[i]], label[y[j]], root)
+                        i, j = i[joins], j[joins]
+                    if len(i):
+                        a, b = c[part[i]], c[y[j]]
+                        yield pd.DataFrame({"hub": np.minimum(a, b), "c": np.maximum(a, b)})
+
+    return run
+
+
+def _joining(a: np.ndarray, b: np.ndarray, root: dict[int, int]) -> list[int]:
+    """Numbers of the pairs that join two trees of ``root``, which grows by them."""
+
+    def top(v: int) -> int:
+        while v in root:
+            v = root[v]
+        return v
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def _across(members: DataFrame, marks: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Possible pairs ``hub, c`` of the keys ``key, c, label`` that hold several labels.
+
+    Only the members outside a key's largest label look for partners among all
+    its members, in blocks of ``BLOCK`` by ``BLOCK`` folded bitmaps; the whole ones
+    then look at what is left.
+    """
     zero = F.lit(0).cast("long")
-    small = m.where(F.col("n") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "label"))).alias("all"))
-    small = small.groupBy("all").agg(F.min("key").alias("g")).select("g", F.explode("all").alias("x"))
-    both = F.explode(F.array(F.lit(0), F.lit(1)))
-    small = small.select("g", zero.alias("i"), zero.alias("j"), both.alias("side"), "x.c", "x.label")
-    parts = F.ceil(F.col("n") / BLOCK)
-    large = m.where(F.col("n") > BLOCK).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("c"), F.col("parts")))
-    other = F.sequence(zero, F.col("parts") - 1)
-    at = F.concat(F.transform(F.filter(other, lambda o: o >= F.col("p")), lambda o: F.struct(F.col("p").alias("i"), o.alias("j"), F.lit(0).alias("side"))),
-                  F.transform(F.filter(other, lambda o: o <= F.col("p")), lambda o: F.struct(o.alias("i"), F.col("p").alias("j"), F.lit(1).alias("side"))))
-    large = large.withColumn("at", F.explode(at)).select(F.col("key").alias("g"), "at.i", "at.j", "at.side", "c", "label")
-    return small.unionByName(large)
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("main.n < n").select(
+        F.col("key").alias("g"), F.col("main.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("parts"),
+        F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("other_parts"))
+    m = members.join(sizes, F.col("key") == F.col("g"))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    part = lambda n: F.pmod(F.xxhash64("c"), F.col(n))
+    below = F.transform(upto("other_parts"), lambda i: F.struct(i.alias("i"), part("parts").alias("j"), F.lit(1).alias("side")))
+    asks = F.transform(upto("parts"), lambda j: F.struct(part("other_parts").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    at = F.explode(F.when(F.col("label") != F.col("main"), F.concat(below, asks)).otherwise(below))
+    rows = m.withColumn("at", at).select("g", "at.i", "at.j", "at.side", "c", "label").join(
+        marks.select("c", "n", F.col("few").alias("bits")).distinct(), "c")
+    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    found = dealt.mapInPandas(_block_pairs(percent, forest), "hub long, c long").distinct()
+    return _possible(found, marks, percent)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
@@ -415,29 +555,35 @@ def _open(members: DataFrame) -> DataFrame:
 
 def _all_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
     """Labels ``id, component`` once every pair of sets that share a key is linked, ruled out, or in one component."""
+    marks = _marks(texts, size)
     degree = members.groupBy("c").agg(F.sum("n").alias("degree"))
     members = stored(members.join(degree, "c").select("key", "c", "degree"), "ngram-degrees")
     # the best connected member of any of a set's keys
     first = _open(members.join(_labelled(nodes, None), "c")).where("c <> hub")
     best = F.max(F.struct("hub", "hub_label")).alias("h")
     first = first.groupBy("c", "label").agg(best).select("c", "label", F.col("h.hub").alias("hub"), F.col("h.hub_label").alias("hub_label"))
-    tested = stored(first, "ngram-first")
-    links = stored(links.union(_links(_stars(tested), texts, size, percent)), "ngram-links")
+    first = stored(_possible(first, marks, percent), "ngram-first")
+    tested = first.select("hub", "c")
+    links = stored(links.union(_links(_stars(first), texts, size, percent)), "ngram-links")
     labels = stored(components(links), "ngram-labels")
     # the hubs of all keys that are still open
     members = stored(_open(members.join(_labelled(nodes, labels), "c")), "ngram-open")
-    again = members.where("label <> hub_label").select("hub", "hub_label", "c", "label").distinct().join(
-        tested.select("hub", "c"), ["hub", "c"], "left_anti")
-    again = stored(again, "ngram-second")
+    again = members.where("label <> hub_label").select("hub", "hub_label", "c", "label").distinct()
+    again = stored(_possible(again.join(tested, ["hub", "c"], "left_anti"), marks, percent), "ngram-second")
+    tested = tested.union(again.select("hub", "c"))
     if not again.isEmpty():
         links = stored(links.union(_links(_stars(again), texts, size, percent)), "ngram-links")
         labels = stored(components(links), "ngram-labels")
-    # the hubs are done: what the other members hold of several components is compared in blocks
-    rest = members.where("c <> hub").select("key", "c").join(_labelled(nodes, labels), "c")
-    counts = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rest = stored(rest.join(counts.where("low < high").select("key", "n"), "key"), "ngram-rest")
-    if not rest.isEmpty():
-        links = stored(links.union(_links(_blocks(rest), texts, size, percent)), "ngram-links")
+    # the hubs are done: what the other members hold of several components is compared in blocks of bitmaps
+    members = members.where("c <> hub").select("key", "c")
+    for forest in (True, False):
+        rest = _across(members.join(_labelled(nodes, labels), "c"), marks, percent, forest)
+        both = tested.union(tested.select(F.col("c").alias("hub"), F.col("hub").alias("c")))
+        rest = stored(rest.join(both, ["hub", "c"], "left_anti").withColumns({"hub_label": F.lit(0), "label": F.lit(1)}), "ngram-rest")
+        if rest.isEmpty():
+            break
+        tested = tested.union(rest.select("hub", "c"))
+        links = stored(links.union(_links(_stars(rest), texts, size, percent)), "ngram-links")
         labels = stored(components(links), "ngram-labels")
     return labels
 

@@ -131,3 +131,16 @@ def test_odd_rows(spark, odd, none):
 def test_packed_numbers(n):
     v = np.random.default_rng(n).integers(0, 2**48, n).astype(np.uint64)
     assert (ngram_join._unpack(ngram_join._pack(v)) == v).all()
+
+
+def test_bitmaps_never_rule_a_link_out():
+    rng = random.Random(13)
+    for _ in range(400):
+        a = sample(rng, rng.choice([1, 5, 40, 300, 3000]))
+        out = rng.randint(0, len(a) - 1)
+        b = varied(rng, a, out, rng.randint(0, out + 1))
+        apart = len(np.setxor1d(a, b))
+        whole = [ngram_join.parity(a), ngram_join.parity(b)]
+        for pair in (whole, [ngram_join.folded(x) for x in whole], [whole[0], ngram_join.folded(whole[1])]):
+            x, y = ngram_join._same_length(pair)
+            assert int(np.bitwise_count(x ^ y).sum()) <= apart
