@@ -181,7 +181,8 @@ def mixed(docs: DataFrame, shards: int = 16, seed: str = "mix", shard: str | Non
     only, one space between them. ``n_chars``, if there, follows the text.
     """
     cols = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
+    # the text travels once, beside the other columns
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"]).alias("_row"), "doc_id", "source", "text")
     rows = sized(own, seed)
     narrow = stored(sized(docs.select("doc_id", "source", "text"), seed).select("source", "_bucket", "size"), "mix-sizes")
     whole = plan(rows, narrow, shards, seed=seed)
