@@ -206,16 +206,18 @@ def build_index(collection: DataFrame, id_col: str = "id", vec_col: str = "embed
     return IvfIndex(cents, counts, radius, n_sub, blocks, base, id_type, dim, settings)
 
 
-def attach(index: IvfIndex, hits: DataFrame, cols: list[str]) -> DataFrame:
+def attach(index: IvfIndex, hits: DataFrame, cols: list[str], most: int | None = None) -> DataFrame:
     """Payload columns of the hit rows.
 
-    The hits (queries x k rows) are computed once and counted: as long as they
-    fit ``broadcast_max_bytes`` they go to the collection's rows, which then
-    are scanned in place and not shuffled.
+    As long as the hits fit ``broadcast_max_bytes`` they go to the collection's
+    rows, which then are scanned in place and not shuffled. ``most`` is a bound
+    of their number (queries x k); without one they are computed once and counted.
     """
-    hits = materialize(hits)
+    if most is None:
+        hits = materialize(hits)
+        most = hits.count()
     rows = index.rows.select("id", *cols)
-    small = hits.count() * _HIT_BYTES <= index.settings.broadcast_max_bytes
+    small = most * _HIT_BYTES <= index.settings.broadcast_max_bytes
     return rows.join(F.broadcast(hits), "id") if small else hits.join(rows, "id")
 
 

@@ -165,7 +165,7 @@ def chat_hits(spark, base, k: int = DEFAULT.default_n_results) -> DataFrame:
     idx = _text_index(spark, base)
     q = read_table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     q = embedding.embed_first_chunk(q, "text", "embedding", EMB, DEFAULT.chunk_width)
-    return search.attach(idx, search.search(idx, q, k), ["document"])
+    return search.attach(idx, search.search(idx, q, k), ["document"], most=q.count() * k)
 
 
 def chat_retrieval(spark, base):
