@@ -126,3 +126,21 @@ def test_small_files(spark, tmpdir_path):
     assert storage.create_text(spark, f"{tmpdir_path}/x/a", "é")
     assert not storage.create_text(spark, f"{tmpdir_path}/x/a", "b")
     assert storage.read_text(spark, f"{tmpdir_path}/x/a") == "é" and "a" in storage.names(spark, f"{tmpdir_path}/x")
+
+
+def test_split_cells_move_in_one_pass(spark, tmpdir_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(6, 3)) * 50
+    x = middle[rng.integers(0, 6, 900)] + rng.normal(size=(900, 3))
+    monkeypatch.setattr(collection, "_first_cells", lambda r, n, s: [(k, m.tolist()) for k, m in enumerate(middle)])
+    plans = []
+    keep = collection.materialize
+    monkeypatch.setattr(collection, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    collection.create(spark, tmpdir_path, 3, "m")
+    v = collection.append(spark, tmpdir_path, rows(spark, range(900), x), TINY)
+    assert v.next_cell > 12 and len(v.segments) == 2  # several cells were split
+    assert "Union" not in plans[-1]
+    idx = collection.open_index(spark, tmpdir_path, settings=TINY)
+    assert idx.size == 900 == collection.read(spark, tmpdir_path).count()
+    q = asked(spark, x[:20])
+    assert hits(idx, q) == hits(search.build_index(rows(spark, range(900), x), "id", "embedding", TINY), q)
