@@ -124,3 +124,43 @@ def test_dense_histogram(spark):
     d = {r.video: r.hist for r in dense_histogram(histogram(v, ["video"], "value", 256), ["video"], 256).collect()}
     assert len(d[1]) == 256 and d[1][0] == 2.0 and d[1][3] == 1.0 and sum(d[1]) == 3.0
     assert d[2][255] == 1.0 and sum(d[2]) == 1.0
+
+
+def test_csv_of_one_row_is_printed_as_pandas_does():
+    import io
+    import random
+
+    import pandas as pd
+
+    from corpusflow.sources import extract as X
+
+    rng = random.Random(5)
+    odd = ["0", "-0", "007", "1", "-12", "999999999999999999", "9999999999999999999", "1.0", "-3.50", "0.1", "0.000001", "0.0", "-0.0", "0.1000001",
+           "173665.47", "999999.999999", "1000000.5", "1234567.25", "1e5", "1E5x", "1e", "0x1F", "NA", "n/a", "nan", "NaN", "None", "null", "True", "false", "inf",
+           "-inf", "Infinity", "O", "5-LOW", "1-URGENT", "a b", " a", "a ", '"q"', "'", "+1", "+a", "1_000", "a,b", "", "#N/A", "<NA>", "2024-01-01", "é", "a\tb",
+           "x" * 60, ".5", "5.", "1.#IND", "--1", "-a", "12a", "1.2.3", "#x", "-NaN", "1d5", "1.5f", "1j"]
+    heads = ["a", "a_long_name", "B2", "a", "", "1", "x y", "a.1", "é", "Unnamed: 0"]
+
+    def cell():
+        kind = rng.randint(0, 4)
+        if kind == 0:
+            return str(rng.randint(-10**rng.randint(0, 18), 10**rng.randint(0, 18)))
+        if kind == 1:
+            return f"{rng.uniform(-10**rng.randint(0, 6), 10**rng.randint(0, 6)):.{rng.randint(1, 6)}f}"
+        return rng.choice(odd)
+
+    files = [f"a\n{c}\n".encode() for c in odd]
+    for _ in range(1500):
+        n = rng.randint(1, 5)
+        names = [f"c{k}" * rng.randint(1, 4) for k in range(n)] if rng.random() < 0.8 else [rng.choice(heads) for _ in range(n)]
+        cells = [cell() for _ in range(n + rng.choice([0] * 8 + [-1, 1]))]
+        files.append((",".join(names) + "\n" + ",".join(cells) + rng.choice(["\n"] * 8 + ["", "\r\n", "\n1\n"])).encode())
+    plain = 0
+    for data in files:
+        table = X._one_row_table(data)
+        if table is not None:
+            plain += 1
+            assert table == pd.read_csv(io.BytesIO(data)).to_string(), data
+    assert plain > 200
+    line = b"o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority\n1,3691,O,194029.55,5-LOW\n"
+    assert X._one_row_table(line) is not None
