@@ -2,9 +2,10 @@
 
 ``spark.read.format("paged_files").option("path", folder).load()`` gives a row per
 page: ``path, begin, text, error``. Pages are separated by a form feed (option
-``separator``, one byte). A partition is a byte range of one file
-(``range_bytes``): it owns the pages that begin in its range, finds the first of
-them itself, and reads on to the end of its last one. Bytes are read in small
+``separator``, one byte). Files are read in byte ranges (``range_bytes``): a range
+owns the pages that begin in it, finds the first of them itself, and its reader
+goes on to the end of its last one. A partition is a range, or several where there
+are more than ``TASKS`` and they hold few bytes, so many small files need few tasks. Bytes are read in small
 pieces and a page is handed on as soon as it is whole, so a file of any size is
 read by many tasks and only a page has to fit in memory.
 
@@ -30,19 +31,21 @@ from corpusflow.sources.batches import _open
 FORMAT = "paged_files"
 SCHEMA = "path string, begin long, text string, error string"
 RANGE_BYTES = 64 << 20
+#: Ranges share tasks where there are more of them, as far as a task has at most about ``RANGE_BYTES``.
+TASKS = 256
 #: Bytes read at once.
 PIECE = 1 << 20
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    end: int
+class ByteRanges(InputPartition):
+    """``path, start, end`` of ranges that one task reads, one after the other."""
 
-    def __init__(self, path: str, start: int, end: int):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
+    ranges: list[tuple[str, int, int]]
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(ranges)
+        self.ranges = ranges
 
 
 def page_bytes(source, start: int, end: int, separator: bytes, piece: int = PIECE) -> Iterator[tuple[int, bytes]]:
@@ -79,7 +82,7 @@ class PagedReader(DataSourceReader):
         if len(self.separator) != 1 or range_bytes < 1:
             raise ValueError("the separator is one byte, and ranges have bytes")
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         from pyarrow import fs
 
         files, base = _open(self.path)
@@ -89,19 +92,22 @@ class PagedReader(DataSourceReader):
         for f in sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.path):
             starts = list(range(0, f.size, self.range_bytes)) or [0]
             # the last range owns a page that begins at the very end
-            out += [ByteRange(f.path, a, min(a + self.range_bytes, f.size) if a != starts[-1] else f.size + 1) for a in starts]
-        return out
+            out += [(f.path, a, min(a + self.range_bytes, f.size) if a != starts[-1] else f.size + 1) for a in starts]
+        tasks = max(TASKS, -(-sum(end - start for _, start, end in out) // RANGE_BYTES))
+        each = max(1, -(-len(out) // tasks))
+        return [ByteRanges(out[k:k + each]) for k in range(0, len(out), each)]
 
-    def read(self, part: ByteRange | None) -> Iterator[tuple]:
+    def read(self, part: ByteRanges | None) -> Iterator[tuple]:
         if part is None:  # how Spark asks where there are no partitions
             return
         files, _ = _open(self.path)
-        with files.open_input_file(part.path) as source:
-            for begin, data in page_bytes(source, part.start, part.end, self.separator):
-                try:
-                    yield part.path, begin, data.decode(), None
-                except UnicodeDecodeError as e:
-                    yield part.path, begin, None, f"page at {begin}: {e.reason}"
+        for path, start, end in part.ranges:
+            with files.open_input_file(path) as source:
+                for begin, data in page_bytes(source, start, end, self.separator):
+                    try:
+                        yield path, begin, data.decode(), None
+                    except UnicodeDecodeError as e:
+                        yield path, begin, None, f"page at {begin}: {e.reason}"
 
 
 class PagedFiles(DataSource):

@@ -45,3 +45,19 @@ def test_a_file_far_above_a_range(spark, tmpdir_path):
     assert paged.read_pages(spark, f"{tmpdir_path}/none").count() == 0
     with pytest.raises(Exception):
         spark.read.format("paged_files").option("path", tmpdir_path).option("separator", "--").load().count()
+
+
+def test_many_small_files_share_tasks(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(paged, "TASKS", 8)
+    os.makedirs(f"{tmpdir_path}/in")
+    for k in range(100):
+        with open(f"{tmpdir_path}/in/{k}.txt", "wb") as f:
+            f.write("\f".join(f"{k} {j} " + "x" * 30 for j in range(k % 4 + 1)).encode())
+    reader = paged.PagedReader(f"{tmpdir_path}/in", 50, "\f")
+    assert len(reader.partitions()) <= 8
+    assert len(paged.PagedReader(f"{tmpdir_path}/in", 50, "\f").partitions()[0].ranges) > 10
+    got = [(p.rsplit("/", 1)[1], t) for part in reader.partitions() for p, _, t, _ in reader.read(part)]
+    want = [(f"{k}.txt", f"{k} {j} " + "x" * 30) for k in range(100) for j in range(k % 4 + 1)]
+    assert sorted(got) == sorted(want)
+    monkeypatch.setattr(paged, "RANGE_BYTES", 200)  # a task reads about that much at most
+    assert len(reader.partitions()) > 30
