@@ -16,6 +16,7 @@ from corpusflow.plans.retrieval import _prep
 from corpusflow.sources import batches
 from corpusflow.sources import paged as S_paged
 from corpusflow.sources import extract as X
+from corpusflow.sources import storage
 from corpusflow.sources.tables import read_table
 from corpusflow.streaming import ingest as L
 from corpusflow.streaming import ledger
@@ -23,6 +24,9 @@ from corpusflow.streaming import ledger
 
 def _table_stream(spark, base, name):
     schema = read_table(spark, base, name).schema
+    path = f"{base}/{name}.parquet"
+    if storage.is_folder(spark, path):
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(base)
 
 

@@ -84,3 +84,12 @@ def test_file_stream_ingest_routes_extracts_and_rejects(spark, tmpdir_path):
     reasons = {r.filename: r.reason for r in spark.read.parquet(rej).collect()}
     assert reasons["c.zip"] == "unsupported" and reasons["e.md"] == "blank"
     assert reasons["f.pdf"].startswith("Error processing pdf file")
+
+
+def test_tables_stored_as_folders_are_streamed(spark, tmpdir_path):
+    from corpusflow.plans import streams
+
+    docs = spark.createDataFrame([(k, f"alpha {k} " * 100) for k in range(6)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = streams.stream_ingest(spark, tmpdir_path)
+    assert sorted(r.source for r in got.select("source").distinct().collect()) == [f"doc_{k}.txt" for k in range(6)]
