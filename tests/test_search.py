@@ -138,3 +138,19 @@ def test_registered_approx_recall(spark, size):
     exact = {(r.query_id, r.vec_id) for r in retrieval.knn_batch(spark, base).select("query_id", "vec_id").collect()}
     got = {(r.query_id, r.vec_id) for r in retrieval.knn_approx(spark, base).select("query_id", "vec_id").collect()}
     assert len(got & exact) >= 0.9 * len(exact)
+
+
+def test_second_pass_sends_only_rows_within_the_first_bound(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 8)) + 20
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    idx = search.build_index(rows, settings=search.DEFAULT.with_(block_rows=50))
+    sent = []
+    keep = search._probe
+    monkeypatch.setattr(search, "_probe", lambda *a: sent.append(keep(*a)) or sent[-1])
+    q = rows.where("id < 60").withColumnRenamed("id", "query_id")
+    got = sorted((r.query_id, r["rank"], r.id) for r in search.search(idx, q, 10).collect())
+    far = ((x[:60, None] - x[None]) ** 2).sum(axis=2)
+    want = sorted((i, r + 1, int(j)) for i in range(60) for r, j in enumerate(np.argsort(far[i], kind="stable")[:10]))
+    assert got == want
+    assert sent[1].count() < 60 * 10 * 3  # before: 10 of every block that a query looks at
