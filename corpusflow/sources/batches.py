@@ -116,8 +116,12 @@ def write_batches(rows: DataFrame, path: str, job: str | None = None, batch_rows
     ship_package(spark)
     spark.dataSource.register(RowBatches)
     job = job or uuid.uuid4().hex
+    listed = f"{path}/jobs/{job}.json"
+    known = storage.read_text(spark, listed)
+    if known is not None:  # a replay: its files would stay unlisted
+        return json.loads(known)["rows"]
     rows.write.format(FORMAT).option("job", job).option("batch_rows", str(batch_rows)).mode("append").save(path)
-    return json.loads(storage.read_text(spark, f"{path}/jobs/{job}.json"))["rows"]
+    return json.loads(storage.read_text(spark, listed))["rows"]
 
 
 def jobs(spark: SparkSession, path: str) -> dict[str, dict]:
