@@ -166,3 +166,24 @@ def test_video_text_of_a_small_table(spark):
     seen = [k for k in (0, 4, 6)]
     assert set(got) == {"v"} and got["v"].text.split("\n") == [f"w{k} end" for k in seen[:got["v"].n_frames]]
     assert want and frames.video_text(f.limit(0), toks).count() == 0 and frames.video_text(f, toks.limit(0)).count() == 0
+
+
+def test_replay_writes_no_file(spark, tmpdir_path):
+    import glob
+
+    for _ in range(2):
+        assert batches.write_batches(spark.range(50), tmpdir_path, "again", 10) == 50
+    listed = {n for n, _ in batches.jobs(spark, tmpdir_path)["again"]["files"]}
+    assert len(glob.glob(f"{tmpdir_path}/files/again/*.parquet")) == len(listed)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from corpusflow.plans.retrieval import _prep
+    from corpusflow.session import BATCH_BYTES
+
+    _prep(spark)
+    df = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = [r.n for r in df.mapInPandas(lambda it: (f.assign(n=f["t"].str.len().sum())[["n"]].head(1) for f in it), "n long").collect()]
+    assert sum(sizes) == 40 << 20 and max(sizes) <= BATCH_BYTES + (1 << 20)
