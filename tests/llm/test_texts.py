@@ -294,3 +294,16 @@ def test_bits_sum_to_one():
     lengths, nodes, bits = context_mixing.byte_code(np.random.default_rng(0).random(256))
     assert math.isclose(sum(2.0 ** -int(x) for x in lengths), 1.0)
     assert len({tuple(zip(nodes[b, :lengths[b]], bits[b, :lengths[b]])) for b in range(256)}) == 256
+
+
+def test_driver_holds_codes_of_the_counts_only(spark):
+    import tracemalloc
+
+    vocabulary = spark.createDataFrame([(w, 0, 5) for w in ("", "alpha", "beta", "gamma")], "word string, profile int, c long")
+    tracemalloc.start()
+    _, counts, _ = context_mixing.train(vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    zeros, ones = counts.at(np.arange(1 << 16))
+    assert 90 < zeros.sum() + ones.sum() < 2000 and (counts.codes > 0).any(axis=1).all()
