@@ -82,3 +82,12 @@ def test_property_exact_equals_stdlib(spark, parts, width):
     df = spark.createDataFrame([(text,)], "text string")
     got = df.select(chunk_text(F.col("text"), width, "exact").alias("c")).first().c
     assert got == ref(text, width)
+
+
+def test_native_computes_the_text_and_its_pieces_once(spark):
+    text = "  " + "some words of a mother-in-law, é " * 400
+    df = spark.createDataFrame([(text,)], "text string").select(chunk_text(F.col("text"), 30, "native").alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # inside a lambda they would be computed for every line
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(") == 1
+    assert df.first().c == ref(text, 30)
