@@ -105,6 +105,23 @@ def test_shared_keys_hide_no_exact_passage(spark):
     assert all(r["class_id"] == i // 3 * 3 and r["n_links"] == (2 if i % 3 == 1 else 1) for i, r in got.items())
 
 
+def test_a_key_hides_no_similar_passage(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, wanted = [], []
+    for _ in range(8):
+        # sixty texts have the line; two after two also the words around it, but for one on either side
+        line = word(40)
+        for _ in range(30):
+            own = [*word(12), *line, *word(12)]
+            rows.append((len(rows), " ".join(word(20) + own + word(20))))
+            own[11], own[52] = word(2)
+            rows.append((len(rows), " ".join(word(20) + own + word(20))))
+            wanted.append((len(rows) - 2, len(rows) - 1))
+    links = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), percent=70).collect()
+    assert {(r["a"], r["b"]) for r in links} == set(wanted)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
