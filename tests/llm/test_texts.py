@@ -324,3 +324,18 @@ def test_driver_holds_codes_of_the_counts_only(spark):
     assert peak < 100 << 20
     zeros, ones = counts.at(np.arange(1 << 16))
     assert 90 < zeros.sum() + ones.sum() < 2000 and (counts.codes > 0).any(axis=1).all()
+
+
+def test_frequent_words_reach_the_driver_packed(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(*_):
+        raise AssertionError("rows of words on the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    docs = spark.createDataFrame([(i, "the same five words here " * (i + 1)) for i in range(9)], "doc_id long, text string")
+    rows = context_mixing.score(docs, context_mixing.F.col("doc_id") < 6).collect()
+    assert len(rows) == 9 and all(r["score"] < 0 and r["n_known"] == r["n_tokens"] for r in rows)
+    part = context_mixing.Known()
+    part.parts.append(part.pack(np.array([0, 3]), ["", "word"], np.array([-1.0, -2.0]), np.array([-3.0, -4.0])))
+    assert part.found[0] == {"": (-1.0, -3.0)} and part.found[3] == {"word": (-2.0, -4.0)}
