@@ -154,3 +154,22 @@ def test_second_pass_sends_only_rows_within_the_first_bound(spark, monkeypatch):
     want = sorted((i, r + 1, int(j)) for i in range(60) for r, j in enumerate(np.argsort(far[i], kind="stable")[:10]))
     assert got == want
     assert sent[1].count() < 60 * 10 * 3  # before: 10 of every block that a query looks at
+
+
+def test_queries_that_look_everywhere_are_sent_to_groups_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    sent, grouped = [], search._grouped_udf
+
+    def spied(per):
+        sent.append(per)
+        return grouped(per)
+
+    monkeypatch.setattr(search, "_grouped_udf", spied)
+    index = search.build_index(df, settings=search.DEFAULT.with_(block_rows=8), n_cells=128)
+    hits = search.search(index, df.withColumnRenamed("id", "query_id"), 5).collect()
+    assert sent == [1, 4]  # pass 2 sends a query to 32 groups at most
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    best = np.argsort(far, axis=1, kind="stable")[:, :5]
+    assert len(hits) == 3000 and all(r["id"] == best[r["query_id"], r["rank"] - 1] for r in hits)
