@@ -339,3 +339,53 @@ def test_frequent_words_reach_the_driver_packed(spark, monkeypatch):
     part = context_mixing.Known()
     part.parts.append(part.pack(np.array([0, 3]), ["", "word"], np.array([-1.0, -2.0]), np.array([-3.0, -4.0])))
     assert part.found[0] == {"": (-1.0, -3.0)} and part.found[3] == {"word": (-2.0, -4.0)}
+
+
+def test_language_model_reads_words_in_order(spark):
+    """Contexts cross words: a training text's words in another order cost more, and only the score changes."""
+    rng = np.random.default_rng(5)
+    follow = {i: rng.permutation(40)[:3] for i in range(40)}
+    texts = []
+    for _ in range(300):
+        at, out = int(rng.integers(40)), []
+        for _ in range(30):
+            out.append(f"word{at}")
+            at = int(rng.choice(follow[at]))
+        texts.append(" ".join(out))
+    shuffled = [" ".join(rng.permutation(t.split())) for t in texts[200:]]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(shuffled, 1000)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    got = context_mixing.score(docs, F.col("doc_id") < 200).toPandas().set_index("doc_id").sort_index()
+    plain, mixed = got.loc[200:299], got.loc[1000:1099]
+    assert np.allclose(plain["base_score"].to_numpy(), mixed["base_score"].to_numpy())
+    assert (plain["score"].to_numpy() - mixed["score"].to_numpy() > 1).mean() > 0.95
+    # three followers of 40 words each: order 0 costs log10(40) a word, one word back log10(3)
+    assert plain["score"].mean() / 31 > -math.log10(40) * 0.75
+
+
+def test_words_of_a_code_cost_what_a_plain_loop_gives():
+    rng = np.random.default_rng(6)
+    tokens = [[f"w{i}" for i in rng.integers(0, 12, size=n)] for n in (0, 1, 7, 40)]
+    code = context_mixing.WordCode(["", *(f"w{i}" for i in range(8))], np.arange(9) + 1.0, 3.0)
+    symbols, contexts = code.laid_out(tokens, [0, 1, 0, 3])
+    assert symbols.tolist() == [s for t in tokens for s in [*(code.symbol.get(w, 9) for w in t), 0]]
+    flat = rng.integers(0, 50, size=(2, context_mixing.STARTS[-1])).astype(float)
+    counts = context_mixing.Counts(context_mixing.Counts.coded(flat))
+    model = context_mixing.Model(code, rng.random((16, 7)), np.sort(rng.random((16, 33)), axis=1))
+    got = model.sequence_cost(counts, symbols, contexts, step=5)
+    token, slots, bit = code.sequence_slots(symbols, contexts)
+    lengths, nodes, bits = context_mixing.byte_code(np.append(np.arange(9) + 1.0, 3.0))
+    zeros, ones = counts.at(slots)
+    want, k = np.zeros(len(symbols)), 0
+    for i, s in enumerate(symbols):
+        for step in range(lengths[s]):
+            assert (token[k], slots[0, k], bit[k]) == (i, nodes[s, step], bits[s, step])
+            x, gate = context_mixing.predict(zeros[:, [k]], ones[:, [k]])
+            p = context_mixing.refine((model.weights[gate[0]] * x[:, 0]).sum(keepdims=True), gate, model.apm)[0]
+            want[i] += math.log10(p if bit[k] else 1 - p)
+            k += 1
+    assert k == len(bit) and np.allclose(got, want, rtol=1e-4)
+    # equal last words, equal contexts; a text's start is told from any word
+    one = code.laid_out([["w1", "w2", "w3", "w4"], ["w5", "w1", "w2", "w3", "w4"]], [0, 0])[1]
+    assert (one[:, 3] == one[:, 9]).all() and (one[3:, 0] != one[3:, 6]).all()
