@@ -144,3 +144,26 @@ def test_split_cells_move_in_one_pass(spark, tmpdir_path, monkeypatch):
     assert idx.size == 900 == collection.read(spark, tmpdir_path).count()
     q = asked(spark, x[:20])
     assert hits(idx, q) == hits(search.build_index(rows(spark, range(900), x), "id", "embedding", TINY), q)
+
+
+def test_append_caches_no_rows_and_the_driver_merges_no_candidates(spark, tmpdir_path, monkeypatch):
+    plans, cached = [], []
+    frame = type(spark.range(1))
+    collect, persist = frame.collect, frame.persist
+    monkeypatch.setattr(frame, "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    monkeypatch.setattr(frame, "persist", lambda self, *level: cached.append(self) or persist(self, *level))
+    vecs = np.random.default_rng(11).normal(size=(300, 4))
+    collection.create(spark, tmpdir_path, 4, "m")
+    v = collection.append(spark, tmpdir_path, rows(spark, range(300), vecs), TINY)
+    assert v.size == 300 and not cached
+    # a limit of a collected frame is taken of every task's rows, on the driver
+    assert plans and not [p for p in plans if "Limit" in p]
+
+
+def test_append_takes_the_smallest_of_rows_that_share_an_id(spark, tmpdir_path):
+    collection.create(spark, tmpdir_path, 2, "m")
+    twice = rows(spark, [1, 2, 2, 3, 2], [[1, 0], [5, 0], [3, 0], [4, 0], [9, 0]]).withColumn("document", F.concat("document", F.lit("!")))
+    v = collection.append(spark, tmpdir_path, twice, TINY)
+    got = collection.read(spark, tmpdir_path)
+    assert v.size == 3 and got.columns == twice.columns
+    assert sorted((r.id, list(r.embedding)) for r in got.collect()) == [("d1", [1.0, 0.0]), ("d2", [3.0, 0.0]), ("d3", [4.0, 0.0])]
