@@ -411,8 +411,12 @@ def _same_length(bitmaps: list[bytes]) -> np.ndarray:
 
 
 def folded(bitmap: bytes) -> bytes:
-    """A quarter of a bitmap (eight bytes at least): XORs of such rule less out, and never a link."""
-    return _same_length([bitmap, bytes(max(8, len(bitmap) // 4))])[0].tobytes()
+    """Half of a bitmap (eight bytes at least): XORs of such rule less out, and never a link.
+
+    A bit or more is left for every n-gram. With half a bit the XOR of sets that
+    share nothing has about as many bits as linked ones may have.
+    """
+    return _same_length([bitmap, bytes(max(8, len(bitmap) // 2))])[0].tobytes()
 
 
 def _marks(texts: DataFrame, size: int) -> DataFrame:

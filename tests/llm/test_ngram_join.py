@@ -144,3 +144,12 @@ def test_bitmaps_never_rule_a_link_out():
         for pair in (whole, [ngram_join.folded(x) for x in whole], [whole[0], ngram_join.folded(whole[1])]):
             x, y = ngram_join._same_length(pair)
             assert int(np.bitwise_count(x ^ y).sum()) <= apart
+
+
+def test_folded_bitmaps_rule_out_sets_that_share_nothing():
+    rng = np.random.default_rng(21)
+    for n in (120, 250, 500, 1000):
+        sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(40)]
+        folded = [ngram_join.folded(ngram_join.parity(s)) for s in sets]
+        far = [int(np.bitwise_count(np.bitwise_xor(*ngram_join._same_length([folded[i], folded[j]]))).sum()) for i in range(40) for j in range(i)]
+        assert min(far) > 2 * n * 15 // 115
