@@ -173,3 +173,45 @@ def test_queries_that_look_everywhere_are_sent_to_groups_of_cells(spark, monkeyp
     far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     best = np.argsort(far, axis=1, kind="stable")[:, :5]
     assert len(hits) == 3000 and all(r["id"] == best[r["query_id"], r["rank"] - 1] for r in hits)
+
+
+def test_few_queries_are_sent_once_and_not_for_every_sub_block(spark, monkeypatch):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1000, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    idx = search.build_index(rows, settings=DEFAULT.with_(block_rows=25), n_cells=2)  # some 20 sub-blocks a cell
+    sent, keep = [], search._probe
+    monkeypatch.setattr(search, "_probe", lambda *a: sent.append(keep(*a)) or sent[-1])
+    q = rows.where("id < 30").withColumnRenamed("id", "query_id")
+    far = ((x[:30, None] - x[None]) ** 2).sum(axis=2)
+    want = sorted((i, r + 1, int(j)) for i in range(30) for r, j in enumerate(np.argsort(far[i], kind="stable")[:10]))
+    for most, copies in ((DEFAULT.broadcast_max_bytes, False), (0, True)):
+        small = replace(idx, settings=idx.settings.with_(broadcast_max_bytes=most))
+        assert sorted((r.query_id, r["rank"], r.id) for r in search.search(small, q, 10).collect()) == want
+        for df in sent:
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert ("explode(sequence(" in plan) == copies  # before: copies, broadcast by an estimate that left them out
+            physical = df._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in physical) != copies
+        sent.clear()
+
+
+def test_a_task_sends_the_nearest_rows_of_all_its_blocks(spark, monkeypatch):
+    from dataclasses import replace
+
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(1000, 8)), np.tile(rng.normal(size=(1, 8)), (300, 1))])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    idx = search.build_index(rows, settings=DEFAULT.with_(block_rows=25), n_cells=2)
+    idx = replace(idx, blocks=idx.blocks.coalesce(1))
+    sent, keep = [], search._probe
+    monkeypatch.setattr(search, "_probe", lambda *a: sent.append(keep(*a)) or sent[-1])
+    q = rows.where("id < 30 or id = 1000").withColumnRenamed("id", "query_id")
+    hits = sorted((r.query_id, r["rank"], r.id, r.distance) for r in search.search(idx, q, 10).collect())
+    some = [*range(30), 1000]
+    exp = brute(x[some], x, 10)
+    assert hits == [(i, r + 1, j, d) for k, i in enumerate(some) for r, (j, d) in enumerate(exp[k])]
+    assert sent[0].where("query_id < 30").count() == 30 * 10  # before: 10 of each of some 25 blocks
+    assert sent[0].where("query_id = 1000").count() == 300  # ties are settled by id over all tasks
