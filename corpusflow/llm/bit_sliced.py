@@ -10,7 +10,7 @@ largest bound; rows whose bound lies within the quantisation error of it are the
 boundary, and their scores are computed exactly. So results equal brute force.
 
 Blocks hold ``block_rows`` vectors and meet the queries in chunks of
-``chunk_rows``: both are rows of bounded size, joined on the chunk's number. The
+``chunk_rows``: both are rows of bounded size, joined on a group of blocks. The
 stated query set against all rows, in blocks; every pair keeps k rows a query.
 
 Integers, products and sums are exact at every size: 64 bits where they suffice,
@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.partitions import parallelism
 from corpusflow.llm.common import load, stored
 
 
@@ -218,8 +219,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, slices: int = 6, scal
     blocks = stored(base.repartition(n).mapInPandas(gather("block"), "block int, block_ids binary, block_rows binary"), "blocks")
     m = max(1, -(-queries.count() // chunk_rows))
     chunks = stored(queries.repartition(m).mapInPandas(gather("chunk"), "chunk int, chunk_ids binary, chunk_rows binary"), "chunks")
-    meets = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = blocks.join(meets, "block").sortWithinPartitions("block", "chunk")
+    # a chunk goes once to each group of blocks, and is never broadcast: by Spark's estimate, which leaves the
+    # copies out, the driver would hold all of them. The blocks lead the merge join, so a block's rows come together.
+    groups = min(n, 8 * parallelism(base.sparkSession))
+    meets = chunks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = blocks.withColumn("group", F.pmod("block", F.lit(groups))).join(meets.hint("merge"), "group").drop("group")
 
     def matrix(ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(ids, dtype=np.int64)

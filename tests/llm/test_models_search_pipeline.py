@@ -169,3 +169,18 @@ def test_stages_on_odd_rows(spark, odd, none):
             got = stage(spark, docs, SMALL)
             assert got.columns == docs.columns, name
             got.count()
+
+
+def test_query_chunks_are_not_broadcast(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = bit_sliced.top_k(rows, rows.where("id % 5 = 0"), 4, block_rows=20, chunk_rows=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # before: the copies for all 30 blocks, held by the driver
+    whole = np.floor(256 * x).astype(np.int64)
+    score, want = whole @ whole.T, []
+    for i in range(0, 600, 5):
+        order = sorted((j for j in range(600) if j != i), key=lambda j: (-score[i, j], j))[:4]
+        want += [(i, r + 1, j, int(score[i, j])) for r, j in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == want
