@@ -389,3 +389,38 @@ def test_words_of_a_code_cost_what_a_plain_loop_gives():
     # equal last words, equal contexts; a text's start is told from any word
     one = code.laid_out([["w1", "w2", "w3", "w4"], ["w5", "w1", "w2", "w3", "w4"]], [0, 0])[1]
     assert (one[:, 3] == one[:, 9]).all() and (one[3:, 0] != one[3:, 6]).all()
+
+
+def test_windows_are_found_among_few_positions():
+    rng = np.random.default_rng(14)
+    tokens = [rng.integers(0, most, n).astype(np.uint64) for most, n in ((10**6, 3000), (7, 400), (1, 120), (50, 12), (10**6, 5))]
+    for least in (1, 6, 46):
+        got = compact_windows.keyed_windows(tokens, least, bands=3)
+        want = []
+        ends = np.cumsum([len(t) for t in tokens])
+        flat = np.concatenate(tokens)
+        for band in range(3):
+            one, two = (compact_windows._values(flat, 2 * band + j) for j in (0, 1))
+            for doc, (s, e) in enumerate(zip(ends - [len(t) for t in tokens], ends)):
+                open_ = [(s, e)]
+                while open_:
+                    lo, hi = open_.pop()
+                    if hi - lo < least or lo == hi:
+                        continue
+                    c = lo + int(np.argmin(one[lo:hi]))
+                    open_ += [(lo, c), (c + 1, hi)]
+                    a, b = lo, hi
+                    while b - a >= least:
+                        d = a + int(np.argmin(two[a:b]))
+                        want.append((doc, c - s, a - s, b - s, band, int(flat[c]), int(flat[d])))
+                        if d == c:
+                            break
+                        a, b = (d + 1, b) if d < c else (a, d)
+        # one row a key and place: of repeated ones the first that was found stays
+        assert {(r[0], r[1], r[2], r[3]) for r in want} >= set(got[["doc", "at", "lo", "hi"]].itertuples(index=False, name=None))
+        assert len(got) == len({(r[0], r[1], r[4], r[5], r[6]) for r in want})
+    values = compact_windows._values(tokens[0], 0)
+    at, low = compact_windows._minima(values, 46)
+    assert len(at) < 3000 / 8  # before: all positions were looked at on every level
+    assert at.tolist() == sorted({i + int(np.argmin(values[i:i + 46])) for i in range(3000 - 45)})
+    assert low.tolist() == [*values[at].tolist(), int(values[-1])]
