@@ -175,3 +175,24 @@ def test_long_id_lists_are_hashed_in_order(spark, monkeypatch):
             for k in (0,)}
     found = {r["k"]: r["ends"] for r in prefix_trie.ordered_hashes(df, ["k"], "v").collect()}
     assert found[0] == want[0]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from corpusflow.llm import common
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    old = shuffled()
+    df = common.stored(spark.range(10000).groupBy(F.pmod("id", F.lit(97)).alias("k")).count().repartition(3), "counts")
+    for _ in range(50):  # files are removed beside the next steps
+        if not shuffled() - old:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - old  # before: they stayed until the driver's next garbage collection
+    assert df.count() == 97 and spark.conf.get(common._CLEANUP, None) is None
